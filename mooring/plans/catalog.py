@@ -1,3 +1,3 @@
 """Imports every query module, so that the registry is complete."""
-from mooring.plans import scalars  # noqa: F401
+from mooring.plans import matching, scalars  # noqa: F401
 from mooring.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -230,7 +230,7 @@ SCORES = ["cpu_penalty", "memory_penalty", "density_penalty", "winner_score", "t
 def comparable_row(labelled):
     """The stored row with scores rounded, so that engines can be compared."""
     return candidate_row(labelled).withColumns(
-        c: units.round_exact(F.col(c), 6) for c in SCORES})
+        {c: units.round_exact(F.col(c), 6) for c in SCORES})
 
 
 @register("candidate_row", query(ROW_SQL, "nominated_l"))
