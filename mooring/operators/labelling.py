@@ -1,6 +1,7 @@
 """The labelled candidate dataset and its storage row."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mooring.constants import CANDIDATE_ROW
 from mooring.functions import features, scoring, units
@@ -27,20 +28,35 @@ def label_pairs(pairs: DataFrame) -> DataFrame:
     return rank_labels(score_pairs(pairs))
 
 
+def with_pod_labels(pods: DataFrame) -> DataFrame:
+    """Text ids of arrivals, made once per pod instead of once per candidate."""
+    return pods.withColumns({"event_label": units.event_label(F.col("event_id")),
+                             "pod_label": units.pod_label(F.col("pod_id"))})
+
+
+def with_node_labels(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({
+        "cluster_label": units.cluster_label(F.col("cluster_id")),
+        "node_label": units.node_label(F.col("cluster_id"), F.col("node_id"))})
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """df without its nested constraint columns, which labels never read."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return df.select(*[f.name for f in df.schema.fields if not isinstance(f.dataType, nested)])
+
+
 def label_dataset(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     """All candidates of all arrivals with teacher labels."""
-    return label_pairs(candidates(pods, nodes, keep_events_together=True))
-
-
-def candidate_row(labelled: DataFrame, text_ids=True) -> DataFrame:
-    """The 44 stored columns in order, ratios rounded to six digits."""
-    rounded = labelled.withColumns(features.rounded_ratios())
-    if text_ids:
-        rounded = rounded.withColumns({
-            "event_id": units.event_label(F.col("event_id")),
-            "pod_id": units.pod_label(F.col("pod_id")),
-            "node_id": units.node_label(F.col("cluster_id"), F.col("node_id")),
-            "best_node_id": units.node_label(F.col("cluster_id"), F.col("best_node_id")),
-            "cluster_id": units.cluster_label(F.col("cluster_id")),
-        })
-    return rounded.select(*CANDIDATE_ROW)
+    return label_pairs(candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)),
+                                  keep_events_together=True))
+
+
+def candidate_row(labelled: DataFrame) -> DataFrame:
+    """The 44 stored columns in order: text ids, ratios rounded to six digits."""
+    names = {"event_id": "event_label", "cluster_id": "cluster_label", "pod_id": "pod_label",
+             "node_id": "node_label", "best_node_id": "best_node_label"}
+    rounded = features.rounded_ratios()
+    return labelled.select(*[
+        F.col(names[c]).alias(c) if c in names else rounded.get(c, F.col(c)).alias(c)
+        for c in CANDIDATE_ROW])

@@ -42,6 +42,8 @@ def rank_labels(scored: DataFrame) -> DataFrame:
         "_any": F.first("feasible").over(by_score),
         "best_node_id": F.first("node_id").over(by_score),
         "winner_score": F.first("teacher_score").over(by_score),
+        **({"best_node_label": F.first("node_label").over(by_score)}
+           if "node_label" in scored.columns else {}),
     })
     return ranked.where("_any").withColumns({
         "teacher_rank": F.when(F.col("feasible"), F.col("_place")),

@@ -5,7 +5,9 @@ from mooring.constants import CLUSTER_SIZE_TIERS, FEATURES, SCENARIO_WEIGHTS
 from mooring.functions import features, scoring, text, units
 from mooring.operators import placement
 from mooring.operators.candidates import with_default_snapshot
-from mooring.operators.labelling import candidate_row, label_pairs
+from mooring.operators.labelling import (
+    candidate_row, label_pairs, with_node_labels, with_pod_labels,
+)
 from mooring.plans.oracle_base import FEATURE_SQL, query
 from mooring.plans.registry import register
 from mooring.sources import fleet
@@ -181,7 +183,8 @@ _register_nominated()
 
 def nominated(spark, sf):
     """Labelled pairs of pods and the nodes their line items name."""
-    return label_pairs(fleet.nominated_pairs(spark, sf))
+    named = fleet.nominated_pairs(spark, sf)
+    return label_pairs(with_node_labels(with_pod_labels(named)))
 
 
 ROW_SQL = """
