@@ -46,10 +46,15 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if not isinstance(f.dataType, nested)])
 
 
+def described_candidates(pods: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs with text ids and without nested columns."""
+    return candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)),
+                      keep_events_together=True)
+
+
 def label_dataset(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     """All candidates of all arrivals with teacher labels."""
-    return label_pairs(candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)),
-                                  keep_events_together=True))
+    return label_pairs(described_candidates(pods, nodes))
 
 
 def candidate_row(labelled: DataFrame) -> DataFrame:

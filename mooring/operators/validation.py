@@ -3,10 +3,11 @@
 Every report is a few partial aggregates over the whole dataset; nothing is
 sampled and no column is gathered in one place.
 """
+import math
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,24 +191,57 @@ def constant_features(labelled: DataFrame, columns) -> DataFrame:
     return labelled.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def _partial_products(batches):
+    """Row count, column sums and products of columns of one partition."""
+    total = None
+    for batch in batches:
+        matrix = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        ones = np.ones((len(matrix), 1))
+        extended = np.hstack([ones, matrix])
+        products = extended.T @ extended
+        total = products if total is None else total + products
+    if total is not None:
+        place = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(place[0].ravel()), pa.array(place[1].ravel()), pa.array(total.ravel())],
+            names=["i", "j", "product"])
+
+
+def _correlations(labelled: DataFrame, columns):
+    """Pearson matrix of the columns, nan where one is constant.
+
+    One pass: every partition reduces to one product matrix, Spark adds them
+    up, and only the matrix of the named columns comes back.
+    """
+    vectors = labelled.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    sums = vectors.mapInArrow(_partial_products, "i long, j long, product double").groupBy(
+        "i", "j").agg(F.sum("product").alias("product"))
+    size = len(columns) + 1
+    products = np.zeros((size, size))
+    for row in sums.collect():
+        products[row.i, row.j] = row.product
+    count, totals = products[0, 0], products[0, 1:]
+    if count == 0:
+        return np.full((len(columns), len(columns)), math.nan)
+    covariance = products[1:, 1:] / count - np.outer(totals, totals) / count ** 2
+    variance = np.diag(covariance).copy()
+    # A constant column leaves only rounding noise of its squared mean.
+    variance[variance <= 1e-12 * (totals / count) ** 2] = math.nan
+    return covariance / np.sqrt(np.outer(variance, variance))
+
+
 def target_correlations(labelled: DataFrame, columns, target="teacher_score", k=10) -> DataFrame:
     """Pearson correlation with the target, strongest first."""
-    cells = [F.struct(F.lit(c).alias("name"),
-                      F.corr(F.col(c).cast("double"), F.col(target)).alias("corr"))
-             for c in columns]
-    one = labelled.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    return one.where(F.col("corr").isNotNull() & ~F.isnan("corr")).orderBy(
-        F.abs("corr").desc(), F.col("name").desc()).limit(k)
+    last = _correlations(labelled, [*columns, target])[-1]
+    rows = [(name, float(r)) for name, r in zip(columns, last) if not math.isnan(r)]
+    found = labelled.sparkSession.createDataFrame(rows, "name string, corr double")
+    strength = F.round(F.abs("corr"), 9)
+    return found.orderBy(strength.desc(), F.col("name").desc()).limit(k)
 
 
 def correlated_pairs(labelled: DataFrame, columns, at_least=0.95) -> DataFrame:
-    """Column pairs whose absolute correlation reaches at_least.
-
-    One distributed pass; only the matrix of the named columns comes back.
-    """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(
-        labelled.select(*columns))
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+    """Column pairs whose absolute correlation reaches at_least."""
+    matrix = _correlations(labelled, columns)
     rows = [(columns[i], columns[j], float(abs(matrix[i, j])))
             for i, j in combinations(range(len(columns)), 2) if abs(matrix[i, j]) >= at_least]
     return labelled.sparkSession.createDataFrame(rows, "a string, b string, corr double")

@@ -1,3 +1,5 @@
 """Imports every query module, so that the registry is complete."""
-from mooring.plans import matching, ranks, reports, scalars  # noqa: F401
+from mooring.plans import (  # noqa: F401
+    matching, ranks, reports, scalars, storage, streams,
+)
 from mooring.plans.registry import ORACLE, QUERIES  # noqa: F401

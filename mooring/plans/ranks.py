@@ -1,16 +1,17 @@
 """Queries over ranking, labelling, replay and the student model."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mooring.constants import CANDIDATE_ROW
-from mooring.functions import units
+from mooring.functions.features import rounded_ratios
+from mooring.functions.units import round_exact
 from mooring.operators import placement, ranking, replay, student
-from mooring.operators.labelling import candidate_row
-from mooring.plans.matching import scored_pairs, sum_sql, waiting_pods
-from mooring.plans.oracle_base import curve_sql, query, CPU, CTES, DENSITY, cte
+from mooring.plans.matching import scored_pairs, waiting_pods
+from mooring.plans.oracle_base import (
+    CPU, DENSITY, cte, curve_sql, derived, labels, query, teacher,
+)
 from mooring.plans.registry import register
 from mooring.plans.reports import RANKED_SQL, labelled
-from mooring.plans.scalars import nominated, status
+from mooring.plans.scalars import ROW_SQL, SCORES, nominated, status
 from mooring.scale import positions
 from mooring.session import scratch_path
 from mooring.sources import fleet
@@ -146,39 +147,35 @@ DIGEST_LONG = ["node_memory_capacity", "node_allocatable_memory", "current_memor
 
 
 def _digest_sql(source):
-    from mooring.plans.scalars import ROW_SQL
-    rows = ROW_SQL.replace("nominated_l", source).replace("CAST(printf('%.6f', ", "(").replace(
-        ") AS DOUBLE) AS", ") AS")
-    parts = [f"round_even(sum({c}), 4) AS {c}" for c in DIGEST]
+    rows = ROW_SQL.replace("nominated_l", source).replace(
+        "AS event_id,", "AS event_label, event_id AS event_id,", 1)
+    parts = [f"round_even(CAST(sum({c}) AS DOUBLE), 6) AS {c}" for c in DIGEST]
     parts += [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in DIGEST_LONG]
     return f"""
-SELECT event_id, max(cluster_id) AS cluster_id, max(best_node_id) AS best_node_id,
-       min(node_id) AS first_node, max(node_id) AS last_node, count(*) AS nodes,
+SELECT event_id, max(CAST(split_part(best_node_id, '-n', 2) AS BIGINT)) AS best_node,
+       min(CAST(split_part(node_id, '-n', 2) AS BIGINT)) AS first_node,
+       max(CAST(split_part(node_id, '-n', 2) AS BIGINT)) AS last_node, count(*) AS nodes,
        CAST(sum(CAST(feasible AS INT)) AS BIGINT) AS feasible,
        CAST(sum(length(reject_reason)) AS BIGINT) AS reject_letters, {', '.join(parts)}
 FROM ({rows}) GROUP BY 1"""
 
 
-def digest(rows):
+def digest(labelled_rows):
+    """One row per event over the stored columns; ids stay numbers, so sums hash."""
+    rounding = {**rounded_ratios(), **{c: round_exact(F.col(c), 6) for c in SCORES}}
+    rows = labelled_rows.withColumns(rounding)
     return rows.groupBy("event_id").agg(
-        F.max("cluster_id").alias("cluster_id"), F.max("best_node_id").alias("best_node_id"),
-        F.min("node_id").alias("first_node"), F.max("node_id").alias("last_node"),
-        F.count(F.lit(1)).alias("nodes"), F.sum(F.col("feasible").cast("int")).alias("feasible"),
+        F.max("best_node_id").alias("best_node"), F.min("node_id").alias("first_node"),
+        F.max("node_id").alias("last_node"), F.count(F.lit(1)).alias("nodes"),
+        F.sum(F.col("feasible").cast("int")).alias("feasible"),
         F.sum(F.length("reject_reason")).alias("reject_letters"),
-        *[F.bround(F.sum(F.col(c).cast("double")), 4).alias(c) for c in DIGEST],
+        *[F.bround(F.sum(F.col(c).cast("double")), 6).alias(c) for c in DIGEST],
         *[F.sum(c).cast("long").alias(c) for c in DIGEST_LONG])
 
 
-@register("label_dataset", query("""
-SELECT event_id, node_id, feasible, round_even(t_score, 6) AS teacher_score,
-       CAST(rank_ AS INTEGER) AS teacher_rank, best_id AS best_node_id,
-       CASE WHEN rank_ = 1 THEN 1 ELSE 0 END AS selected_by_scheduler,
-       round_even(win - t_score, 6) AS score_gap_from_best FROM labelled""", "labelled"))
+@register("label_dataset", query(_digest_sql("labelled"), "labelled"))
 def label_dataset_query(spark, sf):
-    return labelled(spark, sf).select(
-        "event_id", "node_id", "feasible", F.bround("teacher_score", 6).alias("teacher_score"),
-        "teacher_rank", "best_node_id", "selected_by_scheduler",
-        F.bround("score_gap_from_best", 6).alias("score_gap_from_best"))
+    return digest(labelled(spark, sf))
 
 
 # Replay: the sequential placement as a recursive query over whole clusters.
@@ -196,19 +193,63 @@ SELECT *, (place - 1) // 20 AS episode, (place - 1) % 20 AS step FROM (
     PARTITION BY cluster_id ORDER BY arrival_ts, event_id) AS place FROM pod)""", "pod")
 
 
-@register("replay_placements", None)
+CHOICE = _teacher_sql("CAST(n.uc + req_cpu AS DOUBLE) / n.ac", "CAST(n.um + req_mem AS DOUBLE) / n.am",
+                      "n.p")
+cte("node_list", """
+SELECT cluster_id, list({'id': node_id, 'ac': alloc_cpu, 'am': alloc_mem, 'uc': used_cpu,
+                         'um': used_mem, 'p': pods} ORDER BY node_id) AS ns
+FROM node GROUP BY 1""", "node")
+cte("steps", f"""
+SELECT cluster_id, episode, CAST(-1 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS event_id,
+       CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS DOUBLE) AS score, ns
+FROM (SELECT DISTINCT cluster_id, episode FROM timeline) JOIN node_list USING (cluster_id)
+UNION ALL
+SELECT cluster_id, episode, next_step, next_event, b.id, -b.s,
+       list_transform(ns, lambda n: CASE WHEN n.id = b.id THEN
+         {{'id': n.id, 'ac': n.ac, 'am': n.am, 'uc': n.uc + req_cpu, 'um': n.um + req_mem,
+           'p': n.p + 1}} ELSE n END)
+FROM (SELECT *, list_min(list_transform(
+        list_filter(ns, lambda n: n.uc + req_cpu <= n.ac AND n.um + req_mem <= n.am),
+        lambda n: {{'s': -({CHOICE}), 'id': n.id}})) AS b
+      FROM (SELECT s.cluster_id, s.episode, s.ns, t.step AS next_step, t.event_id AS next_event,
+                   t.req_cpu, t.req_mem
+            FROM steps s JOIN timeline t ON t.cluster_id = s.cluster_id
+             AND t.episode = s.episode AND t.step = s.step + 1))""", "timeline", "node_list")
+cte("seen", """
+SELECT t.event_id, e.node_id, CAST(sum(p.req_cpu) AS BIGINT) AS add_cpu,
+       CAST(sum(p.req_mem) AS BIGINT) AS add_mem, count(*) AS add_pods
+FROM timeline t JOIN steps e ON e.cluster_id = t.cluster_id AND e.episode = t.episode
+     AND e.step < t.step AND e.node_id IS NOT NULL
+JOIN pod p ON p.event_id = e.event_id GROUP BY 1, 2""", "steps", "timeline", "pod")
+cte("replayed", """
+SELECT p.* REPLACE (used_cpu + coalesce(add_cpu, 0) AS used_cpu,
+                    used_mem + coalesce(add_mem, 0) AS used_mem, pods + coalesce(add_pods, 0) AS pods)
+FROM pair p LEFT JOIN seen s ON s.event_id = p.event_id AND s.node_id = p.node_id""",
+    "pair", "seen")
+cte("replayed_d", derived("replayed"), "replayed")
+cte("replayed_t", teacher("replayed_d"), "replayed_d")
+cte("replayed_l", labels("replayed_t"), "replayed_t")
+
+
+def recursive(body, *names):
+    return query(body, *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+REPLAY_SQL = recursive("""
+SELECT cluster_id, episode, CAST(step AS INTEGER) AS step, event_id, node_id,
+       round_even(score, 6) AS score FROM steps WHERE step >= 0""", "steps")
+
+
+@register("replay_placements", REPLAY_SQL)
 def replay_placements(spark, sf):
     done = replay.replay(fleet.pods(spark, sf), fleet.nodes(spark, sf))
     return done.select("cluster_id", "episode", "step", "event_id", "node_id",
                        F.bround("score", 6).alias("score"))
 
 
-@register("replay_dataset", None)
+@register("replay_dataset", recursive(_digest_sql("replayed_l"), "replayed_l"))
 def replay_dataset(spark, sf):
-    rows = replay.replayed_labels(fleet.pods(spark, sf), fleet.nodes(spark, sf))
-    return rows.select("event_id", "node_id", "current_cpu_usage", "current_pod_count",
-                       "feasible", F.bround("teacher_score", 6).alias("teacher_score"),
-                       "teacher_rank")
+    return digest(replay.replayed_labels(fleet.pods(spark, sf), fleet.nodes(spark, sf)))
 
 
 # The student model.

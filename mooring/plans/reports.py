@@ -12,6 +12,7 @@ from mooring.operators.placement import pending_pods
 from mooring.plans.matching import count_if, count_sql, scored_pairs, sum_sql
 from mooring.plans.oracle_base import FEATURE_SQL, query
 from mooring.plans.registry import register
+from mooring.scale import attach
 from mooring.sources import fleet
 
 # Column expressions of the labelled rows in the comparison SQL.
@@ -339,7 +340,8 @@ def capacity_violations(spark, sf):
     from mooring.operators.predicates import fits_free
     waiting, nodes = pending_pods(fleet.pods(spark, sf)), fleet.nodes(spark, sf)
     picks = place(waiting, nodes).select("event_id", F.col("best_node_id").alias("node_id"))
-    checked = picks.join(waiting, "event_id").drop("cluster_id").join(nodes, "node_id")
+    checked = attach(picks.join(waiting, "event_id").drop("cluster_id"), nodes, "node_id",
+                     spread_by=["event_id"])
     return checked.select(fits_free()["feasible"].alias("fits")).agg(
         F.count(F.lit(1)).alias("picks"), count_if(~F.col("fits"), "violations"))
 

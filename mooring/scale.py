@@ -10,8 +10,8 @@ SALTS = 32
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most max_rows rows; never counts beyond the bound."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """True when df has at most max_rows rows, by a distributed count."""
+    return df.select(F.lit(1)).count() <= max_rows
 
 
 def attach(big: DataFrame, small: DataFrame, on, how="inner", max_rows=BROADCAST_ROWS,

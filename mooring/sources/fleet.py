@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _source(spark, sf_dir, name, source):
+    """The given frame (a stream of the same table), else the stored table."""
+    return table(spark, sf_dir, name) if source is None else source
+
+
 def _profile_rows(spark, rows, first_id):
     values = ", ".join(
         f"({first_id + i}L, '{name}', {cpu}L, {gib * GIB}L)"
@@ -135,9 +140,12 @@ def with_usage(nodes: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def with_cluster_size(nodes: DataFrame) -> DataFrame:
-    """Nodes per cluster by partial aggregation, joined back on the cluster."""
+    """Nodes per cluster by partial aggregation, joined back on the cluster.
+
+    A left join on unique keys, so Spark drops it where the size is not read.
+    """
     sizes = nodes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return nodes.join(sizes, "cluster_id")
+    return nodes.join(sizes, "cluster_id", "left")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +158,7 @@ def _main_share(total: Column) -> Column:
     return F.floor(total * 0.8).cast("long")
 
 
-def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pods(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFrame:
     """Arriving pods, one scheduling event each."""
     key = F.col("o_orderkey")
     priority = F.col("o_orderpriority")
@@ -181,7 +189,7 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = volume(F.concat(F.lit("v"), key.cast("string")),
                  F.concat(F.lit("c"), key.cast("string")))
     unnamed = volume(F.concat(F.lit("u"), key.cast("string")), F.lit(""))
-    return table(spark, sf_dir, "orders").select(
+    return _source(spark, sf_dir, "orders", source).select(
         key.alias("event_id"),
         key.alias("pod_id"),
         block("o_custkey", CUSTOMERS_PER_CLUSTER).alias("cluster_id"),
@@ -235,9 +243,9 @@ def score_requests(spark: SparkSession, sf_dir: str, node_states: DataFrame = No
     return attach(asked, states, "node_id", how, spread_by=["pod_id", "line"])
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFrame:
     """Usage samples of nodes, one poll per day."""
-    return table(spark, sf_dir, "events").select(
+    return _source(spark, sf_dir, "events", source).select(
         F.col("event_id").alias("sample_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.date_trunc("day", F.col("ts").cast("timestamp")).alias("poll_ts"),
@@ -247,9 +255,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_log(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFrame:
     """Answered requests with latency; an error event is a failed request."""
-    return table(spark, sf_dir, "events").select(
+    return _source(spark, sf_dir, "events", source).select(
         F.col("event_id").alias("request_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("kind"),
