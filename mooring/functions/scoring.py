@@ -11,11 +11,19 @@ from mooring.functions.features import headroom
 from mooring.functions.units import clamp, round_exact
 
 
-def curve(value: Column, anchors) -> Column:
-    """Piecewise-linear interpolation over anchors, value clamped to [0, 1]."""
+def unit_clamp(value: Column) -> Column:
+    return clamp(value, 0.0, 1.0)
+
+
+def curve(value: Column, anchors, clamped=False) -> Column:
+    """Piecewise-linear interpolation over anchors, value clamped to [0, 1].
+
+    The value stands in every branch; give a stored column, already clamped,
+    where the generated code has to stay small.
+    """
     if not anchors:
         return F.lit(0.0)
-    x = clamp(value, 0.0, 1.0)
+    x = value if clamped else unit_clamp(value)
     result = F.when(x <= anchors[0][0], F.lit(float(anchors[0][1])))
     for (left, low), (right, high) in zip(anchors, anchors[1:]):
         if right <= left:
@@ -26,19 +34,23 @@ def curve(value: Column, anchors) -> Column:
     return result.otherwise(F.lit(float(anchors[-1][1])))
 
 
-def penalties_of(cpu_percent: Column, memory_percent: Column, pod_count: Column):
-    """Piecewise cpu, memory and density penalties of one placement."""
-    density = F.least(F.lit(1.0), (pod_count + 1) / F.lit(MAX_PODS_PER_NODE))
+def utilisations(cpu_percent: Column, memory_percent: Column, pod_count: Column):
+    """Clamped curve inputs by penalty name."""
     return {
-        "cpu_penalty": curve(cpu_percent, CPU_PENALTY_CURVE),
-        "memory_penalty": curve(memory_percent, MEMORY_PENALTY_CURVE),
-        "density_penalty": curve(density, DENSITY_PENALTY_CURVE),
+        "cpu_penalty": unit_clamp(cpu_percent),
+        "memory_penalty": unit_clamp(memory_percent),
+        "density_penalty": unit_clamp((pod_count + 1) / F.lit(MAX_PODS_PER_NODE)),
     }
 
 
-def curve_penalties():
-    return penalties_of(F.col("projected_cpu_percent"), F.col("projected_memory_percent"),
-                        F.col("current_pod_count"))
+CURVES = {"cpu_penalty": CPU_PENALTY_CURVE, "memory_penalty": MEMORY_PENALTY_CURVE,
+          "density_penalty": DENSITY_PENALTY_CURVE}
+
+
+def penalties_of(cpu_percent: Column, memory_percent: Column, pod_count: Column):
+    """Piecewise cpu, memory and density penalties of one placement."""
+    inputs = utilisations(cpu_percent, memory_percent, pod_count)
+    return {name: curve(x, CURVES[name], clamped=True) for name, x in inputs.items()}
 
 
 def _step(utilisation: Column) -> Column:
@@ -78,7 +90,14 @@ def teacher_score() -> Column:
 
 
 def with_teacher_score(df: DataFrame) -> DataFrame:
-    return df.withColumns(curve_penalties()).withColumn("teacher_score", teacher_score())
+    """Adds the three penalties and teacher_score to derived candidates."""
+    inputs = utilisations(F.col("projected_cpu_percent"), F.col("projected_memory_percent"),
+                          F.col("current_pod_count"))
+    stored = df.withColumns({f"_{name}_at": x for name, x in inputs.items()})
+    curved = stored.withColumns({
+        name: curve(F.col(f"_{name}_at"), CURVES[name], clamped=True) for name in CURVES})
+    return curved.withColumn("teacher_score", teacher_score()).drop(
+        *[f"_{name}_at" for name in CURVES])
 
 
 def heuristic_score() -> Column:

@@ -17,6 +17,8 @@ def local_session(cores="*", shuffle_partitions=8, app="mooring"):
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Methods beyond this size are never compiled to machine code.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("MOORING_DRIVER_MEMORY", "12g"))
         .config("spark.ui.showConsoleProgress", "false")
