@@ -211,9 +211,15 @@ def _correlations(labelled: DataFrame, columns):
     """Pearson matrix of the columns, nan where one is constant.
 
     One pass: every partition reduces to one product matrix, Spark adds them
-    up, and only the matrix of the named columns comes back.
+    up, and only the matrix of the named columns comes back. All values are
+    taken relative to those of one row, so large means do not cancel and a
+    constant column is exactly zero.
     """
     vectors = labelled.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    origin = vectors.head()
+    if origin is None:
+        return np.full((len(columns), len(columns)), math.nan)
+    vectors = vectors.select(*[(F.col(c) - F.lit(origin[c])).alias(c) for c in columns])
     sums = vectors.mapInArrow(_partial_products, "i long, j long, product double").groupBy(
         "i", "j").agg(F.sum("product").alias("product"))
     size = len(columns) + 1
@@ -221,12 +227,9 @@ def _correlations(labelled: DataFrame, columns):
     for row in sums.collect():
         products[row.i, row.j] = row.product
     count, totals = products[0, 0], products[0, 1:]
-    if count == 0:
-        return np.full((len(columns), len(columns)), math.nan)
     covariance = products[1:, 1:] / count - np.outer(totals, totals) / count ** 2
     variance = np.diag(covariance).copy()
-    # A constant column leaves only rounding noise of its squared mean.
-    variance[variance <= 1e-12 * (totals / count) ** 2] = math.nan
+    variance[variance <= 0] = math.nan
     return covariance / np.sqrt(np.outer(variance, variance))
 
 
