@@ -72,34 +72,32 @@ def pair_counts(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
     concordant and discordant pairs. Work is rows x digits, not rows squared;
     an event uses the digits of its largest rank.
     """
-    values = rows.select(EVENT, F.col(x).alias("x"), F.col(y).alias("y"))
     event = Window.partitionBy(EVENT)
-    ranked = values.withColumn("r", F.dense_rank().over(event.orderBy("y")) - 1)
-    digits = F.length(F.bin(F.max("r").over(event).cast("long")))
-    split = ranked.withColumn("digits", digits).select(
-        EVENT, "x", "r", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("level"))
-    prefix = F.expr("shiftright(r, level + 1)")
+    by_x, by_y = event.orderBy("x"), event.orderBy("y")
+    # Row number minus rank counts the earlier rows with the same value.
+    ranked = rows.select(EVENT, F.col(x).alias("x"), F.col(y).alias("y")).withColumns({
+        "r": F.dense_rank().over(by_y) - 1,
+        "same_y": F.row_number().over(by_y) - F.rank().over(by_y),
+        "same_x": F.row_number().over(by_x) - F.rank().over(by_x),
+    }).withColumn("digits", F.length(F.bin(F.max("r").over(event).cast("long"))))
+    split = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
     digit = F.expr("shiftright(r, level) & 1")
-    counted = split.select(EVENT, "level", prefix.alias("prefix"), "x", digit.alias("d")).groupBy(
-        EVENT, "level", "prefix", "x").agg(
-        F.sum(1 - F.col("d")).alias("zeros"), F.sum("d").alias("ones"))
+    once = F.col("level") == 0
+    counted = split.groupBy(EVENT, "level", F.expr("shiftright(r, level + 1)").alias("prefix"),
+                            "x").agg(
+        F.sum(1 - digit).alias("zeros"), F.sum(digit).alias("ones"),
+        F.sum(F.when(once, F.col("same_x")).otherwise(0)).alias("same_x"),
+        F.sum(F.when(once, F.col("same_y")).otherwise(0)).alias("same_y"),
+        F.sum(F.when(once, 1).otherwise(0)).alias("n"))
     before = Window.partitionBy(EVENT, "level", "prefix").orderBy("x").rowsBetween(
         Window.unboundedPreceding, -1)
-    compared = counted.select(
-        EVENT,
-        (F.col("ones") * F.coalesce(F.sum("zeros").over(before), F.lit(0))).alias("concordant"),
-        (F.col("zeros") * F.coalesce(F.sum("ones").over(before), F.lit(0))).alias("discordant"),
-    ).groupBy(EVENT).agg(F.sum("concordant").alias("concordant"),
-                         F.sum("discordant").alias("discordant"))
-
-    def tied(name):
-        per_value = values.groupBy(EVENT, name).agg(F.count(F.lit(1)).alias("t"))
-        return per_value.groupBy(EVENT).agg(
-            F.sum(F.col("t") * (F.col("t") - 1) / 2).cast("long").alias(f"tied_{name}"),
-            F.sum("t").alias(f"n_{name}"))
-
-    return tied("x").join(tied("y").drop("n_y"), EVENT).join(compared, EVENT).withColumnRenamed(
-        "n_x", "n")
+    return counted.select(
+        EVENT, "n", "same_x", "same_y",
+        (F.col("ones") * F.coalesce(F.sum("zeros").over(before), F.lit(0))).alias("agree"),
+        (F.col("zeros") * F.coalesce(F.sum("ones").over(before), F.lit(0))).alias("differ"),
+    ).groupBy(EVENT).agg(
+        F.sum("agree").alias("concordant"), F.sum("differ").alias("discordant"),
+        F.sum("same_x").alias("tied_x"), F.sum("same_y").alias("tied_y"), F.sum("n").alias("n"))
 
 
 def event_kendall(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:

@@ -3,9 +3,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.functions import features, scoring
-from mooring.operators.candidates import candidates
-from mooring.operators.predicates import eligible_nodes, is_pending, is_ready
+from mooring.operators.candidates import PAIR_KEY, candidates
+from mooring.operators.predicates import (
+    eligible_nodes, fits_total, is_pending, is_ready, matches_constraints,
+)
 from mooring.operators.ranking import best_node
+from mooring.scale import attach, is_bounded
+
+CONSTRAINTS = ["tolerations", "affinity_terms"]
+MAX_CONSTRAINT_SETS = 20_000
 
 
 def ready_nodes(nodes: DataFrame) -> DataFrame:
@@ -34,9 +40,22 @@ def pod_requests(pods: DataFrame) -> DataFrame:
     })
 
 
-def eligible_pairs(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of pods and ready nodes that pass taints, affinity and capacity."""
-    return eligible_nodes(candidates(pod_requests(pods), ready_nodes(nodes)))
+def eligible_pairs(pods: DataFrame, nodes: DataFrame, max_sets=MAX_CONSTRAINT_SETS) -> DataFrame:
+    """Pairs of pods and ready nodes that pass taints, affinity and capacity.
+
+    Pods of one workload share their constraints. Where the distinct sets per
+    cluster are few (counted), the nested checks run once per set and node and
+    pods meet only nodes their set allows; else they run on every pair.
+    """
+    ready = ready_nodes(nodes)
+    asked = pod_requests(pods).withColumns({
+        c: F.coalesce(c, F.array().cast(pods.schema[c].dataType)) for c in CONSTRAINTS})
+    sets = asked.select(PAIR_KEY, *CONSTRAINTS).distinct()
+    if not is_bounded(sets, max_sets):
+        return eligible_nodes(candidates(asked, ready))
+    allowed = attach(sets, ready, PAIR_KEY).where(matches_constraints()).drop("labels", "taints")
+    return attach(asked, allowed, [PAIR_KEY, *CONSTRAINTS], spread_by=["pod_id"]).where(
+        fits_total())
 
 
 def online_score(pairs: DataFrame) -> DataFrame:

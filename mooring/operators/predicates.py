@@ -102,11 +102,14 @@ def first_rejection() -> Column:
     )
 
 
+def matches_constraints() -> Column:
+    return (tolerates_taints(F.col("tolerations"), F.col("taints"))
+            & matches_affinity(F.col("affinity_terms"), F.col("labels")))
+
+
 def eligible_nodes(candidates: DataFrame) -> DataFrame:
     """Candidates that pass capacity, taints and affinity."""
-    return candidates.where(fits_total()).where(
-        tolerates_taints(F.col("tolerations"), F.col("taints"))
-        & matches_affinity(F.col("affinity_terms"), F.col("labels")))
+    return candidates.where(fits_total()).where(matches_constraints())
 
 
 def claim_names(volumes: Column) -> Column:
