@@ -1,7 +1,8 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the local cores. Every query is
-computed in full and thrown away, after one warm-up on the smallest tables.
+computed in full and thrown away, after a warm-up of each on the smallest
+tables, which compiles its code.
 """
 import json
 import os
@@ -41,8 +42,8 @@ def main():
 
     names = sys.argv[1:] or HEADLINE
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
-    if os.path.isdir(warm):
-        run("score_stats", warm)
+    for name in names if os.path.isdir(warm) else []:
+        run(name, warm)
     seconds = {name: run(name, sf_dir) for name in names}
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").count() * 40
     print(json.dumps({

@@ -59,9 +59,9 @@ def snapshot(nodes: DataFrame, usage: DataFrame, pod_counts: DataFrame) -> DataF
 
 def latest_usage(samples: DataFrame) -> DataFrame:
     """Last sample of the newest poll per node."""
-    newest = samples.agg(F.max("poll_ts").alias("poll_ts"))
+    newest = samples.select(F.max("poll_ts")).scalar()
     order = F.struct("ts", "sample_id")
-    return samples.join(F.broadcast(newest), "poll_ts", "left_semi").groupBy("node_id").agg(
+    return samples.where(F.col("poll_ts") == newest).groupBy("node_id").agg(
         F.max_by("cpu_sample", order).alias("current_cpu_usage"),
         F.max_by("mem_sample", order).alias("current_memory_usage"),
     )

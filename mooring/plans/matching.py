@@ -380,7 +380,7 @@ def new_pods(spark, sf):
 
 
 @register("concat_profiles", query("""
-SELECT p.profile_id, p.profile_name, count(n.node_id) AS nodes
+SELECT CAST(p.profile_id AS BIGINT) AS profile_id, p.profile_name, count(n.node_id) AS nodes
 FROM profile p LEFT JOIN node0 n USING (profile_id) GROUP BY ALL""", "profile", "node0"))
 def concat_profiles(spark, sf):
     used = fleet.bare_nodes(spark, sf).groupBy("profile_id").agg(

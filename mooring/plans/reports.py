@@ -205,7 +205,7 @@ def _pairs_sql():
     return query(f"""
 SELECT r.a AS a, r.b AS b, round_even(r.corr, 5) AS corr
 FROM (SELECT unnest([{', '.join(cells)}]) AS r FROM (SELECT {columns} FROM labelled))
-WHERE r.corr >= 0.95e0""", "labelled")
+WHERE r.corr >= 0.95e0 AND NOT isnan(r.corr)""", "labelled")
 
 
 @register("corr_pairs", _pairs_sql())
@@ -370,10 +370,7 @@ SELECT *, round_even(sent / elapsed_sec, 9) AS rps FROM (
   {LOAD_SQL.format(group="user_id AS node_id, ")},
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed_sec FROM events GROUP BY 1)"""))
 def load_stats(spark, sf):
-    log = fleet.request_log(spark, sf).join(
-        fleet.telemetry(spark, sf).select(F.col("sample_id").alias("request_id"), "node_id"),
-        "request_id")
-    stats = decisions.load_stats(log, ["node_id"])
+    stats = decisions.load_stats(fleet.request_log(spark, sf), ["node_id"])
     return rounded(rounded(stats, "avg_latency_ms"), "rps", digits=9)
 
 

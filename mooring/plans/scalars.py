@@ -246,7 +246,8 @@ def scored_requests(spark, sf):
 
 
 STEP_SQL = """
-SELECT {key}, cpu, mem, den, cpu + mem + den AS total FROM (
+SELECT {key}, CAST(cpu AS BIGINT) AS cpu, CAST(mem AS BIGINT) AS mem, CAST(den AS BIGINT) AS den,
+       CAST(cpu + mem + den AS BIGINT) AS total FROM (
   SELECT *, CASE WHEN proj_cpu > 0.9e0 THEN 20 WHEN proj_cpu > 0.7e0 THEN 10 ELSE 0 END AS cpu,
          CASE WHEN proj_mem > 0.9e0 THEN 20 WHEN proj_mem > 0.7e0 THEN 10 ELSE 0 END AS mem,
          CASE WHEN pods > 30 THEN 5 ELSE 0 END AS den FROM request_t)"""

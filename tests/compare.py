@@ -40,6 +40,18 @@ def bag(columns, rows):
         tuple(cell(row[i]) for i in order) for row in rows)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
+def type_differences(frame, con, sql):
+    """Columns whose Spark type is not the SQL type."""
+    relation = con.sql(sql)
+    sql_types = dict(zip(relation.columns, map(str, relation.types)))
+    return [f"{name} {kind}/{sql_types.get(name)}" for name, kind in frame.dtypes
+            if KINDS.get(kind) != sql_types.get(name)]
+
+
 def compare(frame, con, sql):
     """None when equal, else a text that says what differs."""
     columns, spark_bag = bag(frame.columns, [tuple(r) for r in frame.collect()])
@@ -70,6 +82,9 @@ def main():
             frame = queries[name](spark, sf_dir)
             if name in sqls:
                 problem = compare(frame, con, sqls[name])
+                different = type_differences(frame, con, sqls[name])
+                if different:
+                    print(f"   {name} types: {different}")
             else:
                 problem = f"no SQL, {frame.count()} rows"
         except Exception as error:  # report and go on with the next query
