@@ -191,7 +191,7 @@ ROW_SQL = """
 SELECT printf('e%08d', event_id) AS event_id, printf('c%06d', cluster_id) AS cluster_id,
        printf('pod-%08d', event_id) AS pod_id,
        printf('c%06d-n%03d', cluster_id, node_id) AS node_id,
-       printf('c%06d-n%03d', cluster_id, best_id) AS best_node_id, cluster_size,
+       printf('c%06d-n%03d', best_id // 40, best_id) AS best_node_id, cluster_size,
        CAST(cap_cpu AS BIGINT) AS node_cpu_capacity, CAST(cap_mem AS BIGINT) AS node_memory_capacity,
        alloc_cpu AS node_allocatable_cpu, alloc_mem AS node_allocatable_memory,
        used_cpu AS current_cpu_usage, used_mem AS current_memory_usage,
