@@ -1,5 +1,7 @@
 """Session and shared-folder helpers."""
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,19 @@ def local_session(cores="*", shuffle_partitions=8, app="mooring"):
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    A temporary folder stands in only where the setting is absent (local runs).
+    First the checkpoint folder of the context, then the setting. A temporary
+    folder stands in on a local master only, where driver and executors are one.
     """
     global _fallback_dir
-    configured = spark.conf.get(SHARED_DIR_KEY, None)
+    context = spark.sparkContext
+    configured = context.getCheckpointDir() or spark.conf.get(SHARED_DIR_KEY, None)
     if configured:
         return configured
+    if not context.master.split("[")[0] == "local":
+        raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="mooring-")
+        atexit.register(shutil.rmtree, _fallback_dir, ignore_errors=True)
     return _fallback_dir
 
 
