@@ -49,10 +49,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once even if use() has it inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _covered(places: Column) -> Column:
     """Words inside the three-word windows that start at the given sorted places."""
-    steps = F.transform(places, lambda p, k: F.least(
-        F.lit(3), F.coalesce(F.get(places, k + 1), p + 3) - p))
+    steps = _once(places, lambda at: F.transform(at, lambda p, k: F.least(
+        F.lit(3), F.coalesce(F.get(at, k + 1), p + 3) - p)))
     return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
 
@@ -110,7 +115,7 @@ def _repeated_words(df: DataFrame, words: str) -> DataFrame:
             (k > 0) & equal(F.get(windows, k - 1), s), F.lit(False)) | F.coalesce(
             equal(F.get(windows, k + 1), s), F.lit(False))), lambda s: s["i"])
 
-    plain = _covered(F.array_sort(twice(spelled)))
+    plain = _covered(F.array_sort(_once(spelled, twice)))
     return paired.withColumn(
         "n_repeat_words", F.when(F.size(pairs) == 0, 0).when(~clash, fast).otherwise(plain)
     ).drop("_keys", "_pairs")
