@@ -110,9 +110,12 @@ def fit(texts: dict) -> dict:
     walks = []
     for t in texts.values():
         plain = automaton(t, alphabet)
-        # A letter that the reference lacks is a phrase of its own and leads to the start.
-        restart = np.where(plain[0] < 0, 0, plain[0]) + len(plain)
-        walks.append(np.where(plain < 0, restart[None, :], plain).astype(np.int32))
+        # A letter that the reference lacks is a phrase of its own, after which any letter restarts.
+        alone = len(plain)
+        first = np.where(plain[0] < 0, alone, plain[0])
+        walk = np.where(plain < 0, first + alone + 1, plain)
+        walk[0] = first
+        walks.append(np.vstack([walk, first + alone + 1]).astype(np.int32))
     return {"langs": list(texts), "alphabet": alphabet, "walks": walks,
             "sizes": [len(t) for t in texts.values()]}
 
