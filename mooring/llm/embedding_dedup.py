@@ -20,7 +20,7 @@ from mooring.session import ship_package
 
 THRESHOLD = 0.98
 #: Rows of a shard, on average, before overlap.
-SHARD_ROWS = 2_000
+SHARD_ROWS = 500
 #: Vectors that centroids are fitted on at most, over all labels: the bound of the sample.
 SAMPLE_ROWS = 50_000
 #: Shards that a vector belongs to; doubled while the audit finds less than RECALL.
