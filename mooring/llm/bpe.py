@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import table
-from mooring.session import ship_package
+from mooring.llm.common import table, text_workers
 
 #: Pieces of up to so many bytes are merged side by side.
 SHORT = 64
@@ -228,7 +227,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _rows(docs: DataFrame, columns, value: str) -> DataFrame:
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                        F.col(f"`{value}`").alias("value"))
 

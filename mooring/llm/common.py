@@ -2,7 +2,11 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooring.session import scratch_path
+from mooring.session import scratch_path, ship_package
+
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: The characters that end a word: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,3 +35,11 @@ def fresh(columns, base: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def text_workers(spark: SparkSession) -> None:
+    """Prepares the session for Python workers over whole texts: this package, and batches of few
+    rows, as the default of 10,000 texts is tens of megabytes, held several times over."""
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(TEXT_BATCH_ROWS))

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import crc_remainder, table
-from mooring.session import ship_package
+from mooring.llm.common import crc_remainder, table, text_workers
 
 #: Letters of reference text per language: the bound of the sample that is fitted.
 REFERENCE_CHARS = 60_000
@@ -194,52 +193,66 @@ def _judge(texts: list, model: dict, codes: np.ndarray):
     return out
 
 
-def predictor(model: dict, text_at: int):
-    """mapInArrow function that adds the prediction columns to its rows."""
+_FITTED = {}
+
+
+def _fitted(texts: tuple) -> tuple:
+    """Model and letter codes, built once per worker from the reference texts, which are small."""
+    if texts not in _FITTED:
+        _FITTED.clear()
+        model = fit(dict(texts))
+        _FITTED[texts] = model, _codes_table(model["alphabet"])
+    return _FITTED[texts]
+
+
+def _predictor(texts: tuple, text_at: int):
     def run(batches):
-        codes = _codes_table(model["alphabet"])
+        model, codes = _fitted(texts)
         for batch in batches:
             found, step = [], 512
-            column = batch.column(text_at)
+            column = batch.column(0).field(text_at)
             for i in range(0, batch.num_rows, step):
                 found += _judge(column.slice(i, step).to_pylist(), model, codes)
-            arrays = [*batch.columns, pa.array([f[0] for f in found], pa.string()),
-                      pa.array([f[1] for f in found], pa.float64()),
-                      pa.array([f[2] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[
-                f"c{i}" for i in range(len(arrays))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found], pa.string()),
+                 pa.array([f[1] for f in found], pa.float64()),
+                 pa.array([f[2] for f in found], pa.float64())],
+                names=["row", "pred", "score", "phrase_letters"])
     return run
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def _predicted(docs: DataFrame, texts: dict, text: str) -> DataFrame:
+    """(row struct, pred, score, phrase_letters)."""
+    text_workers(docs.sparkSession)
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = inner.schema["row"].dataType.simpleString()
+    return inner.mapInArrow(
+        _predictor(tuple(sorted(texts.items())), docs.columns.index(text)),
+        f"row {kind}, pred string, score double, phrase_letters double")
+
+
+def identify(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
     """docs with a struct `language` (pred, score, phrase_letters), one row per row.
 
-    `und`, with score 0, for a null text, one without a letter, or where no language was learned.
-    Ties go to the language that sorts first. All columns pass through; one named `language` is
-    replaced. Rows stay where they are: no shuffle.
+    texts: reference text per language, as `sample` gives it. The prediction is `und`, with score 0,
+    for a null text, one without a letter, or where no language was learned. Ties go to the language
+    that sorts first. All columns pass through; one named `language` is replaced. Rows stay where
+    they are: no shuffle.
     """
-    ship_package(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() != "language"]
-    inner = docs.select(F.col(f"`{text}`").alias("t"), F.struct(
-        *[F.col(f"`{c}`") for c in names]).alias("row"))
-    fields = ", ".join(f"c{i} {kind}" for i, kind in enumerate(
-        [inner.schema["t"].dataType.simpleString(), inner.schema["row"].dataType.simpleString(),
-         "string", "double", "double"]))
-    mapped = inner.mapInArrow(predictor(model, 0), fields)
-    return mapped.select("c1.*", F.struct(F.col("c2").alias("pred"), F.col("c3").alias("score"), F.col(
-        "c4").alias("phrase_letters")).alias("language"))
+    return _predicted(docs.select(*[f"`{c}`" for c in names]), texts, text).select(
+        "row.*", F.struct("pred", "score", "phrase_letters").alias("language"))
 
 
 def learn(docs: DataFrame) -> dict:
-    """The model from documents outside fold 1 of 3."""
-    return fit(sample(docs.where(crc_remainder("doc_id", 3) != 1)))
+    """Reference texts from documents outside fold 1 of 3."""
+    return sample(docs.where(crc_remainder("doc_id", 3) != 1))
 
 
-def keep(docs: DataFrame, model: dict) -> DataFrame:
+def keep(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
     """Documents in some learned language: others are `und` or fall apart into tiny phrases."""
-    judged = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return judged.where((F.col("language.pred") != UNDETERMINED)
-                        & (F.col("language.phrase_letters") >= MIN_PHRASE)).select("row.*")
+    return _predicted(docs, texts, text).where(
+        (F.col("pred") != UNDETERMINED) & (F.col("phrase_letters") >= MIN_PHRASE)).select("row.*")
 
 
 @register("op1_language")

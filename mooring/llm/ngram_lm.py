@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import crc_remainder, stored, table
-from mooring.session import scratch_path, ship_package
+from mooring.llm.common import crc_remainder, stored, table, text_workers
+from mooring.session import scratch_path
 
 #: Distinct n-grams that one task merges, on average.
 RANGE_KEYS = 4_000_000
@@ -359,7 +359,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     every token has the same probability.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    text_workers(spark)
     only = docs.select(F.col(f"`{text}`").alias("text"))
     size = only.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     ranges = 1 + (size[0] or 0) // (8 * RANGE_KEYS)
@@ -383,7 +383,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 def _scorer(model: dict):
     total, vocabulary = model["words"]["total"], model["words"]["size"]
     start = vocabulary
-    kinds = model["pairs"]["total"] and model["pairs"]["size"]
+    kinds = model["pairs"]["size"]
     upper = np.array([0.0, *discounts(*[model["pairs"][f"n{k}"] for k in (1, 2, 3, 4)])])
     lower = np.array([0.0, *discounts(*[model["contexts"][f"n{k}"] for k in (1, 2, 3, 4)])])
 
@@ -406,8 +406,8 @@ def _scorer(model: dict):
             cont = np.zeros(len(ids), np.int64)
             real = order[ids[order] >= 0]
             cont[real] = contexts.find(ids[real].astype(np.uint64))[0]
-            base = spare * uniform + (np.maximum(cont - lower[np.minimum(cont, 3)], 0) / kinds
-                                      if kinds else 0.0)
+            base = spare * uniform + np.maximum(
+                cont - lower[np.minimum(cont, 3)], 0) / max(kinds, 1)
             # What a context leaves to the lower order.
             left = np.ones(len(ids) + 1)
             seen = np.append(count, model["texts"])
@@ -454,7 +454,7 @@ def score(docs: DataFrame, model: dict, columns=("doc_id",), text: str = "text")
     A null text counts as empty. Repeated rows are scored alike. `perplexity` gives the usual
     figure from score and n_tokens.
     """
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                         F.col(f"`{text}`").alias("text"))
     kind = inner.schema["row"].dataType.simpleString()

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import stored, table
+from mooring.llm.common import stored, table, text_workers
 from mooring.scale import positions
-from mooring.session import ship_package
 
 CAPACITY = 1024
 END_ID = 2
@@ -82,7 +81,7 @@ def pieces(docs: DataFrame, rank_path: str, pattern: str, special: dict, columns
     A document is its ids and the end id. Longer ones are cut so that only the first piece may be
     shorter than the capacity. A null text counts as empty: one piece, the end id.
     """
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                         F.col(f"`{text}`").alias("text"))
     kind = inner.schema["row"].dataType.simpleString()

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import table
-from mooring.session import ship_package
+from mooring.llm.common import table, text_workers
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -435,7 +434,7 @@ def learn(docs: DataFrame, text: str = "text", limit: int = SAMPLE_WINDOWS) -> d
 
     About eight texts per window are looked at, each text once however often it is repeated.
     """
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
     share = min(1.0, 8.0 * limit / max(1, docs.count()))
     drawn = docs.select(F.xxhash64(F.lit("pii"), F.col(f"`{text}`")).alias("key"),
                         F.col(f"`{text}`").alias("t")).where(
@@ -475,17 +474,21 @@ def detect(docs: DataFrame, p: dict, columns=("doc_id",), text: str = "text",
            with_text: bool = False) -> DataFrame:
     """The given columns with rule spans, all spans (strings), counts of rule spans, and the
     redacted text if wanted. A null text has no spans and stays null."""
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
+    # A text that is wanted anyway isn't sent twice.
+    own = text in columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-                        F.col(f"`{text}`").alias("t"))
+                        *([] if own else [F.col(f"`{text}`").alias("t")]))
+    at = list(columns).index(text) if own else None
     schema = (f"row {inner.schema['row'].dataType.simpleString()}, rules string, spans string, "
               + ", ".join(f"n_{k} bigint" for k in KINDS) + ", redacted string")
 
     def run(batches):
         for batch in batches:
             rules, spans, counts, texts = [], [], [], []
+            column = batch.column(1) if at is None else batch.column(0).field(at)
             for lo in range(0, batch.num_rows, 1000):
-                part = batch.column(1).slice(lo, 1000).to_pylist()
+                part = column.slice(lo, 1000).to_pylist()
                 for text_, (own, added) in zip(part, find_spans(part, p)):
                     rules.append(joined(own))
                     spans.append(joined(own + added))

@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import fresh, stored, table
+from mooring.llm.common import fresh, stored, table, text_workers
 from mooring.llm.components import components
-from mooring.session import ship_package
 
 WORDS = 3
 SEED = 42
@@ -65,7 +64,7 @@ def _fingerprints(batches):
 
 def with_fingerprint(docs: DataFrame, columns, text: str = "text") -> DataFrame:
     """(row struct of columns, fp) for each document."""
-    ship_package(docs.sparkSession)
+    text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("t"))
     return inner.mapInArrow(
         _fingerprints, f"row {inner.schema['row'].dataType.simpleString()}, fp bigint")
@@ -171,7 +170,7 @@ def _links(entries: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, list_cap: int = LIST_CAP) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fp that join the same components as all."""
-    ship_package(fps.sparkSession)
+    text_workers(fps.sparkSession)
     entries = index(fps, cover())
     long_lists = stored(entries.groupBy("places", "shared").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") > list_cap).drop("n"), "long-lists")

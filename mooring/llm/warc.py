@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import stored, table
-from mooring.session import scratch_path, ship_package
+from mooring.llm.common import stored, table, text_workers
+from mooring.session import scratch_path
 
 #: Payloads from this size on are written once; equal ones become revisits.
 REVISIT_BYTES = 1000
@@ -120,7 +120,7 @@ def _archiver(folder: str):
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                    html: str = "html") -> DataFrame:
     """Writes all pages into archives in the shared folder; returns (path, records) of each."""
-    ship_package(pages.sparkSession)
+    text_workers(pages.sparkSession)
     folder = scratch_path(pages.sparkSession, "archives")
     if "://" not in folder and not folder.startswith("/"):
         folder = folder.replace("file:/", "file:///", 1)
@@ -296,7 +296,7 @@ def _reader(with_payload: bool):
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives in `path`. A revisit has no payload of its own (empty), but the
     digest and size of the full one."""
-    ship_package(manifest.sparkSession)
+    text_workers(manifest.sparkSession)
     count = max(1, manifest.count())
     return manifest.select("path").repartition(min(count, 10_000)).mapInArrow(
         _reader(with_payload), READ)

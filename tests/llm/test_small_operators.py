@@ -166,14 +166,14 @@ def test_phrases_equal_substring_search(stretch):
 
 
 def test_language_on_odd_texts(odd_docs, no_docs):
-    model = language.fit({"x": "the cat sat on the mat", "y": "der hund lief in den wald"})
+    model = {"x": "the cat sat on the mat", "y": "der hund lief in den wald"}
     rows = language.identify(odd_docs.withColumn("language", F.lit(1)), model).collect()
     assert len(rows) == odd_docs.count()
     for r in rows:
         blank = not any(c.isalpha() for c in r.text or "")
         assert (r.language.pred == "und") == blank and 0.0 <= r.language.score <= 1.0
     assert language.identify(no_docs, model).count() == 0
-    assert {r.language.pred for r in language.identify(odd_docs, language.fit({})).collect()} == {"und"}
+    assert {r.language.pred for r in language.identify(odd_docs, {}).collect()} == {"und"}
     assert language.sample(no_docs) == {}
 
 
