@@ -161,14 +161,19 @@ def _banded(value: Column, low, high, names) -> Column:
     return F.when(value <= low, names[0]).when(value <= high, names[1]).otherwise(names[2])
 
 
-def status_bands(score: Column, cpu_pct: Column, mem_pct: Column):
-    """Score class, usage colours and the health tag of a node."""
+def whole_percent(share: Column) -> Column:
+    """A share as a whole percentage, halves up."""
+    return F.floor(share * 100 + 0.5).cast("long")
+
+
+def status_bands(score: Column, cpu_share: Column, mem_share: Column, stressed: Column):
+    """Score class, usage colours by whole percentages, and the health tag, empty under stress."""
     def by_score(high, middle, low):
         return F.when(score >= 70, high).when(score >= 40, middle).otherwise(low)
 
     return {
         "score_band": by_score("high", "mid", "low"),
-        "cpu_band": _banded(cpu_pct, 50, 75, ("green", "yellow", "red")),
-        "mem_band": _banded(mem_pct, 60, 80, ("green", "yellow", "red")),
-        "health_tag": by_score("Healthy", "Moderate", "High Risk"),
+        "cpu_band": _banded(whole_percent(cpu_share), 50, 75, ("green", "yellow", "red")),
+        "mem_band": _banded(whole_percent(mem_share), 60, 80, ("green", "yellow", "red")),
+        "health_tag": F.when(stressed, "").otherwise(by_score("Healthy", "Moderate", "High Risk")),
     }

@@ -21,13 +21,32 @@ def short_name(name: Column) -> Column:
     return F.when(F.size(parts) <= 2, name).otherwise(F.concat_ws("-", F.slice(parts, -2, 2)))
 
 
+def _tenths(x: Column) -> Column:
+    """x of 1 or more in tenths, rounded by its exact binary value, larger on a true tie.
+
+    x times a power of two that makes it whole is exact as a long, and twenty times that as a
+    decimal.
+    """
+    out = None
+    for below, bits in ((1 << 10, 52), (1 << 20, 42), (1 << 42, 20)):
+        whole = (x * float(1 << bits)).cast("long").cast("decimal(20,0)")
+        twentieths = whole * F.lit(20).cast("decimal(2,0)") + F.lit(1 << bits).cast("decimal(20,0)")
+        unit = F.lit(1 << (bits + 1)).cast("decimal(20,0)")
+        # A quotient of decimals is rounded; without the remainder it is whole.
+        tenths = ((twentieths - twentieths % unit) / unit).cast("long")
+        out = F.when(x < below, tenths) if out is None else out.when(x < below, tenths)
+    return out.otherwise(F.rint(x * 10).cast("long"))
+
+
 def compact_number(value: Column) -> Column:
-    as_double = value.cast("double")
-    return (
-        F.when(value >= 1_000_000, F.format_string("%.1fM", as_double / 1e6))
-        .when(value >= 1_000, F.format_string("%.1fK", as_double / 1e3))
-        .otherwise(value.cast("string"))
-    )
+    """1.2K or 3.4M with one decimal from a thousand on, else the plain number."""
+    def short(unit, mark):
+        tenths = _tenths(value.cast("double") / unit)
+        return F.concat(F.floor(tenths / 10).cast("long").cast("string"), F.lit("."),
+                        (tenths % 10).cast("string"), F.lit(mark))
+
+    return (F.when(value >= 1_000_000, short(1e6, "M")).when(value >= 1_000, short(1e3, "K"))
+            .otherwise(value.cast("string")))
 
 
 def html_escape(text: Column) -> Column:
@@ -48,8 +67,10 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
-def utc_stamp(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def utc_stamp(moment: Column, zoned=False) -> Column:
+    """UTC text of a moment: of a zoned timestamp in any session zone, else of UTC wall time."""
+    wall = F.to_utc_timestamp(moment, F.current_timezone()) if zoned else moment
+    return F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def label_lookup(labels: Column, key: Column):
@@ -70,5 +91,10 @@ def condition_json(message: Column, moment: Column) -> Column:
 
 
 def decode_response(body: Column) -> Column:
-    """Score response struct; null where the text is no such object."""
-    return F.from_json(body, SCORE_RESPONSE, {"mode": "PERMISSIVE"})
+    """Score response struct; null where the text is no such object, score 0 where it has none."""
+    schema = T.StructType([*SCORE_RESPONSE, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE",
+                                        "columnNameOfCorruptRecord": "_broken"})
+    return F.when(body.isNotNull() & parsed["_broken"].isNull(), F.struct(
+        F.coalesce(parsed["score"], F.lit(0).cast("long")).alias("score"),
+        parsed["reason"].alias("reason"), parsed["source"].alias("source")))

@@ -29,29 +29,43 @@ def is_pending(scheduler: Column, node_name: Column, phase: Column,
     return (scheduler == name) & unbound & is_active(phase)
 
 
+def _text(struct: Column, field: str) -> Column:
+    """A text field; what API data leaves out means the empty text."""
+    return F.coalesce(struct[field], F.lit(""))
+
+
 def toleration_matches(toleration: Column, taint: Column) -> Column:
-    """Empty effect or key is a wildcard; empty operator means Equal."""
-    effect = (toleration["effect"] == "") | (toleration["effect"] == taint["effect"])
-    key = (toleration["key"] == "") | (toleration["key"] == taint["key"])
-    value = (toleration["operator"] == "Exists") | (
-        toleration["operator"].isin("Equal", "") & (toleration["value"] == taint["value"]))
+    """Empty or absent effect or key is a wildcard; empty or absent operator means Equal."""
+    effect = (_text(toleration, "effect") == "") | (
+        _text(toleration, "effect") == _text(taint, "effect"))
+    key = (_text(toleration, "key") == "") | (_text(toleration, "key") == _text(taint, "key"))
+    operator = _text(toleration, "operator")
+    value = (operator == "Exists") | (operator.isin("Equal", "") & (
+        _text(toleration, "value") == _text(taint, "value")))
     return effect & key & value
 
 
 def tolerates_taints(tolerations: Column, taints: Column) -> Column:
-    """Every taint but the soft ones meets a matching toleration."""
-    return F.forall(taints, lambda taint: (taint["effect"] == "PreferNoSchedule") | F.exists(
-        tolerations, lambda toleration: toleration_matches(toleration, taint)))
+    """Every taint but the soft ones meets a matching toleration; absent lists are empty."""
+    return F.coalesce(F.forall(taints, lambda taint: (
+        _text(taint, "effect") == "PreferNoSchedule") | F.coalesce(F.exists(
+            tolerations, lambda toleration: toleration_matches(toleration, taint)),
+            F.lit(False))), F.lit(True))
+
+
+def _integer(text: Column) -> Column:
+    """A base-10 integer of 64 bits with nothing around it, else null."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long"))
 
 
 def selector_matches(requirement: Column, labels: Column) -> Column:
-    """One label requirement; an unknown operator never matches."""
+    """One label requirement; an unknown operator never matches, absent labels are none."""
     actual = F.try_element_at(labels, requirement["key"])
-    present = F.map_contains_key(labels, requirement["key"])
+    present = F.coalesce(F.map_contains_key(labels, requirement["key"]), F.lit(False))
     values = requirement["values"]
     listed = F.coalesce(F.array_contains(values, actual), F.lit(False))
-    have = actual.try_cast("long")
-    want = F.get(values, F.lit(0)).try_cast("long")
+    have = _integer(actual)
+    want = _integer(F.get(values, F.lit(0)))
     op = requirement["operator"]
     return (
         F.when(op == "In", present & listed)

@@ -301,7 +301,8 @@ def final_score(spark, sf):
 
 
 @register("fallback_score", query("""
-SELECT event_id, CASE WHEN event_type = 'error' THEN 50 ELSE event_id % 101 END AS score,
+SELECT event_id, CASE WHEN event_type = 'error' THEN 50 WHEN event_id % 13 IN (0, 1) THEN 0
+       ELSE event_id % 101 END AS score,
        CASE WHEN event_type = 'error' THEN 'fallback' ELSE 'trees' END AS source FROM events"""))
 def fallback_score(spark, sf):
     answer = text.decode_response(F.col("body"))
@@ -346,12 +347,16 @@ def _register_idle():
 _register_idle()
 
 
-def status(spark, sf):
-    """Utilisation, pods and zero-request score of every node."""
+def idle_nodes(spark, sf):
+    """Features of every node for a request of nothing."""
     nothing = F.lit(0).cast("long")
-    idle = features.derive(fleet.nodes(spark, sf).withColumns(
+    return features.derive(fleet.nodes(spark, sf).withColumns(
         {"requested_cpu": nothing, "requested_memory": nothing}), guard="one")
-    return idle.select("node_id", *[c.alias(n) for n, c in scoring.node_status().items()],
+
+
+def status(spark, sf):
+    """Utilisation, pods and zero-request score of every node."""
+    return idle_nodes(spark, sf).select("node_id", *[c.alias(n) for n, c in scoring.node_status().items()],
                        scoring.heuristic_score().alias("score"))
 
 
@@ -363,15 +368,23 @@ def node_status(spark, sf):
 @register("status_band", query("""
 SELECT node_id, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'mid' ELSE 'low' END
        AS score_band,
-       CASE WHEN cpu_util_pct <= 50 THEN 'green' WHEN cpu_util_pct <= 75 THEN 'yellow'
-            ELSE 'red' END AS cpu_band,
-       CASE WHEN mem_util_pct <= 60 THEN 'green' WHEN mem_util_pct <= 80 THEN 'yellow'
-            ELSE 'red' END AS mem_band,
-       CASE WHEN score >= 70 THEN 'Healthy' WHEN score >= 40 THEN 'Moderate'
-            ELSE 'High Risk' END AS health_tag FROM node_status""", "node_status"))
+       CASE WHEN cpu <= 50 THEN 'green' WHEN cpu <= 75 THEN 'yellow' ELSE 'red' END AS cpu_band,
+       CASE WHEN mem <= 60 THEN 'green' WHEN mem <= 80 THEN 'yellow' ELSE 'red' END AS mem_band,
+       CASE WHEN stressed THEN '' WHEN score >= 70 THEN 'Healthy' WHEN score >= 40 THEN 'Moderate'
+            ELSE 'High Risk' END AS health_tag
+FROM (SELECT node_id, heur AS score, floor(CAST(used_cpu AS DOUBLE) / alloc_cpu * 100 + 0.5) AS cpu,
+             floor(CAST(used_mem AS DOUBLE) / alloc_mem * 100 + 0.5) AS mem,
+             EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error'
+                     AND e.user_id = i.node_id) AS stressed FROM idle_t i)""", "idle_t"))
 def status_band(spark, sf):
-    bands = scoring.status_bands(F.col("score"), F.col("cpu_util_pct"), F.col("mem_util_pct"))
-    return status(spark, sf).select("node_id", *[c.alias(n) for n, c in bands.items()])
+    from mooring.operators.candidates import stressed_nodes
+    shares = idle_nodes(spark, sf).select(
+        "node_id", "current_cpu_percent", "current_memory_percent",
+        scoring.heuristic_score().alias("score"))
+    bands = scoring.status_bands(F.col("score"), F.col("current_cpu_percent"),
+                                 F.col("current_memory_percent"), F.col("stressed"))
+    return stressed_nodes(shares, fleet.stress_jobs(spark, sf)).select(
+        "node_id", *[c.alias(n) for n, c in bands.items()])
 
 
 @register("quantize_request", query("""
@@ -452,13 +465,15 @@ def short_name(spark, sf):
 
 
 @register("fmt_num", query("""
-SELECT pod_id, CASE WHEN n >= 1000000 THEN printf('%.1fM', (n + 50000) // 100000 / 10.0)
-       WHEN n >= 1000 THEN printf('%.1fK', (n + 50) // 100 / 10.0) ELSE CAST(n AS VARCHAR) END AS short
-FROM (SELECT o_orderkey AS pod_id, o_orderkey * o_orderkey AS n FROM orders)"""))
+SELECT pod_id, CASE WHEN n >= 1000000 AND n % 1000000 = 250000 THEN printf('%d.3M', n // 1000000)
+       WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000e0)
+       WHEN n >= 1000 AND n % 1000 = 250 THEN printf('%d.3K', n // 1000)
+       WHEN n >= 1000 THEN printf('%.1fK', n / 1000e0) ELSE CAST(n AS VARCHAR) END AS short
+FROM (SELECT o_orderkey AS pod_id, o_orderkey * o_orderkey * 50 + o_orderkey % 3 AS n FROM orders)"""))
 def fmt_num(spark, sf):
     key = F.col("o_orderkey")
     return fleet.table(spark, sf, "orders").select(
-        key.alias("pod_id"), text.compact_number(key * key).alias("short"))
+        key.alias("pod_id"), text.compact_number(key * key * 50 + key % 3).alias("short"))
 
 
 @register("html_escape", query("""
@@ -518,7 +533,8 @@ def condition_json(spark, sf):
 
 
 @register("decode_scores", query("""
-SELECT event_id, CASE WHEN event_type = 'error' THEN 50 ELSE event_id % 101 END AS score,
+SELECT event_id, CASE WHEN event_type = 'error' THEN 50 WHEN event_id % 13 IN (0, 1) THEN 0
+       ELSE event_id % 101 END AS score,
        CASE WHEN event_type <> 'error' THEN 'ok' END AS reason FROM events"""))
 def decode_scores(spark, sf):
     answer = text.decode_response(F.col("body"))

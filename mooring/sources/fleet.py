@@ -117,7 +117,8 @@ def bare_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 10 == 0, F.array(dedicated, maintenance))
         .when(key % 5 == 0, F.array(dedicated))
         .when(key % 5 == 1, F.array(spot))
-        .otherwise(F.filter(none, lambda t: F.lit(False))).alias("taints"),
+        # What has no taints may have an empty list or none at all.
+        .when(key % 5 == 2, F.filter(none, lambda t: F.lit(False))).alias("taints"),
         F.array(condition("MemoryPressure", F.lit("False")),
                 condition("Ready", ready)).alias("conditions"),
     )
@@ -166,8 +167,12 @@ def pods(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFram
     memory = ((key * 17) % 32 + 1) * 67_108_864
 
     def toleration(name, operator, value, effect):
-        return F.struct(F.lit(name).alias("key"), F.lit(operator).alias("operator"),
-                        F.lit(value).alias("value"), F.lit(effect).alias("effect"))
+        """Empty fields are left out by every other pod, as API data has it."""
+        def field(text):
+            return F.lit(text) if text else F.when(key % 2 == 0, "")
+
+        return F.struct(field(name).alias("key"), F.lit(operator).alias("operator"),
+                        field(value).alias("value"), field(effect).alias("effect"))
 
     def requirement(name, operator, *values):
         listed = F.array(*[F.lit(v) for v in values]) if values else F.filter(
@@ -206,7 +211,7 @@ def pods(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFram
         .when(priority == "2-HIGH",
               F.array(toleration("dedicated", "Equal", "batch", "NoSchedule")))
         .when(priority == "3-MEDIUM", F.array(toleration("dedicated", "Exists", "", "")))
-        .otherwise(F.filter(wildcard, lambda t: F.lit(False))).alias("tolerations"),
+        .when(key % 2 == 0, F.filter(wildcard, lambda t: F.lit(False))).alias("tolerations"),
         F.when(kind == 1, F.array(F.array(requirement("zone", "In", "z0", "z1"))))
         .when(kind == 2, F.array(F.array(requirement("zone", "NotIn", "z2"))))
         .when(kind == 3, F.array(F.array(requirement("ssd", "Exists"))))
@@ -305,9 +310,12 @@ def stress_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of scoring answers; an error left a broken one."""
-    body = F.format_string('{"score": %d, "reason": "ok", "source": "trees"}',
-                           F.col("event_id") % 101)
+    """Bodies of scoring answers; an error left a broken one, some have no score or a null one."""
+    rest = F.lit('"reason": "ok", "source": "trees"}')
+    which = F.col("event_id") % 13
+    body = F.concat(
+        F.when(which == 0, "{").when(which == 1, '{"score": null, ').otherwise(
+            F.format_string('{"score": %d, ', F.col("event_id") % 101)), rest)
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.when(F.col("event_type") == "error", "upstream timed out").otherwise(body)

@@ -19,6 +19,11 @@ REQUIREMENT = "struct<key:string,operator:string,values:array<string>>"
     (("j", "Exists", "", ""), ("k", "v", "NoSchedule"), False),
     (("", "Equal", "v", ""), ("k", "v", "NoSchedule"), True),
     (("k", "Odd", "v", ""), ("k", "v", "NoSchedule"), False),
+    (("k", "Exists", None, None), ("k", None, "NoSchedule"), True),
+    ((None, "Exists", None, None), ("k", "v", "NoSchedule"), True),
+    (("k", None, "v", None), ("k", "v", "NoSchedule"), True),
+    (("k", None, None, None), ("k", None, "NoSchedule"), True),
+    (("k", None, None, None), ("k", "v", "NoSchedule"), False),
 ])
 def test_toleration(spark, toleration, taint, expected):
     df = spark.createDataFrame([(toleration, taint)], f"a {TOLERATION}, b {TAINT}")
@@ -32,6 +37,8 @@ def test_toleration(spark, toleration, taint, expected):
     ([("k", "Exists", "", "")], [("k", "v", "NoSchedule"), ("m", "", "NoExecute")], False),
     ([("k", "Exists", "", ""), ("m", "Exists", "", "")],
      [("k", "v", "NoSchedule"), ("m", "", "NoExecute")], True),
+    (None, None, True), ([], None, True), (None, [("k", "v", None)], False),
+    (None, [("k", "v", "PreferNoSchedule")], True),
 ])
 def test_all_taints(spark, tolerations, taints, expected):
     df = spark.createDataFrame([(tolerations, taints)], f"a array<{TOLERATION}>, b array<{TAINT}>")
@@ -56,6 +63,8 @@ LABELS = {"zone": "z1", "gen": "4", "name": "x"}
     (("gen", "Gt", ["4"]), False),
     (("gen", "Gt", []), False),
     (("gen", "Gt", ["x"]), False),
+    (("gen", "Gt", [" 3 "]), False),
+    (("gen", "Gt", ["+3"]), True),
     (("name", "Gt", ["3"]), False),
     (("none", "Gt", ["3"]), False),
     (("gen", "Lt", ["5"]), True),
@@ -121,3 +130,22 @@ def test_claims(spark):
                                f"v {volume}")
     rows = df.select(predicates.claim_names(F.col("v")), predicates.has_claims(F.col("v")))
     assert [tuple(r) for r in rows.collect()] == [("b, data", True), ("", False)]
+
+
+@pytest.mark.parametrize("operator, expected", [
+    ("DoesNotExist", True), ("NotIn", True), ("Exists", False), ("In", False), ("Gt", False)])
+def test_absent_labels_are_no_labels(spark, operator, expected):
+    df = spark.createDataFrame([(("zone", operator, ["1"]), None)],
+                               f"r {REQUIREMENT}, l map<string,string>")
+    assert df.select(predicates.selector_matches(F.col("r"), F.col("l"))).first()[0] is expected
+
+
+def test_first_rejection_of_absent_fields(spark):
+    """A node without taints and labels is turned down for what it lacks, not for a null."""
+    df = spark.sql("""SELECT CAST(NULL AS array<struct<key:string,operator:string,value:string,
+        effect:string>>) AS tolerations, CAST(NULL AS array<struct<key:string,value:string,
+        effect:string>>) AS taints, CAST(NULL AS map<string,string>) AS labels,
+        array(array(named_struct('key', 'ssd', 'operator', 'Exists', 'values', array('x'))))
+        AS affinity_terms, 10L AS node_allocatable_cpu, 10L AS node_allocatable_memory,
+        1L AS total_requested_cpu, 1L AS total_requested_memory""")
+    assert df.select(predicates.first_rejection()).first()[0] == "affinity"

@@ -130,8 +130,9 @@ def test_failed_call_gets_neutral_score_without_penalty(spark):
 def test_text_helpers(spark):
     assert column(spark, [59.4, 59.5, 187.0, 7500.0, 3599.9], "double", text.duration_text) == [
         "59s", "60s", "3m07s", "2h05m", "59m59s"]
-    assert column(spark, [999, 1000, 1250, 3_400_000], "long", text.compact_number) == [
-        "999", "1.0K", "1.3K", "3.4M"]
+    assert column(spark, [999, 1000, 1150, 1250, 1450, 1750, 3_400_000, 999_950, 2 ** 41], "long",
+                  text.compact_number) == ["999", "1.0K", "1.1K", "1.3K", "1.4K", "1.8K", "3.4M",
+                                           "1000.0K", "2199023.3M"]
     assert column(spark, ["Node_A.1", "worker-2"], "string", text.job_name) == [
         "saturate--ode---1", "saturate-worker-2"]
     assert column(spark, ["a", "a-b", "web-7f-x9"], "string", text.short_name) == [
@@ -140,14 +141,34 @@ def test_text_helpers(spark):
         "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"]
 
 
+def test_stamp_is_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_seconds(1704067200) AS t, TIMESTAMP_NTZ '2024-01-01' AS w")
+        assert tuple(df.select(text.utc_stamp(F.col("t"), zoned=True), text.utc_stamp(
+            F.col("w"))).first()) == ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_bands_use_whole_percentages(spark):
+    df = spark.createDataFrame([(70, 0.503, 0.605, False), (40, 0.505, 0.604, True)],
+                               "s long, c double, m double, x boolean")
+    bands = scoring.status_bands(F.col("s"), F.col("c"), F.col("m"), F.col("x"))
+    assert [tuple(r) for r in df.select(*bands.values()).collect()] == [
+        ("high", "green", "yellow", "Healthy"), ("mid", "yellow", "green", "")]
+
+
 def test_broken_response_falls_back(spark):
-    bodies = ['{"score": 7, "reason": "r", "source": "s"}', "oops", None, '{"reason": "x"}']
+    bodies = ['{"score": 7, "reason": "r", "source": "s"}', "oops", None, '{"reason": "x"}',
+              '{"score": null}', '{"score": "high"}']
     df = spark.createDataFrame([(b,) for b in bodies], "body string").select(
         text.decode_response(F.col("body")).alias("a"))
     out = df.select(*[c.alias(n) for n, c in scoring.with_fallback(
         F.col("a.score"), F.col("a.source")).items()]).collect()
     assert [tuple(r) for r in out] == [
-        (7, "s"), (50, "fallback"), (50, "fallback"), (50, "fallback")]
+        (7, "s"), (50, "fallback"), (50, "fallback"), (0, None), (0, None), (50, "fallback")]
 
 
 def test_weighted_choice_covers_all_names(spark):
