@@ -3,15 +3,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.functions import features, scoring
-from mooring.operators.candidates import PAIR_KEY, candidates
+from mooring.operators.candidates import PAIR_KEY
 from mooring.operators.predicates import (
-    eligible_nodes, fits_total, is_pending, is_ready, matches_constraints,
+    fits_total, is_pending, is_ready, matches_constraints,
 )
 from mooring.operators.ranking import best_node
-from mooring.scale import attach, is_bounded
+from mooring.scale import attach
 
 CONSTRAINTS = ["tolerations", "affinity_terms"]
-MAX_CONSTRAINT_SETS = 20_000
 
 
 def ready_nodes(nodes: DataFrame) -> DataFrame:
@@ -40,22 +39,28 @@ def pod_requests(pods: DataFrame) -> DataFrame:
     })
 
 
-def eligible_pairs(pods: DataFrame, nodes: DataFrame, max_sets=MAX_CONSTRAINT_SETS) -> DataFrame:
+def eligible_pairs(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of pods and ready nodes that pass taints, affinity and capacity.
 
-    Pods of one workload share their constraints. Where the distinct sets per
-    cluster are few (counted), the nested checks run once per set and node and
-    pods meet only nodes their set allows; else they run on every pair.
+    Pods of one workload share their constraints, so the nested checks run once per distinct set
+    and node: never on more rows than pods times nodes, and on far fewer where sets repeat. Pods
+    then meet the nodes that their set allows by the set's hash, and by its arrays in case two
+    sets share one.
     """
     ready = ready_nodes(nodes)
     asked = pod_requests(pods).withColumns({
-        c: F.coalesce(c, F.array().cast(pods.schema[c].dataType)) for c in CONSTRAINTS})
-    sets = asked.select(PAIR_KEY, *CONSTRAINTS).distinct()
-    if not is_bounded(sets, max_sets):
-        return eligible_nodes(candidates(asked, ready))
-    allowed = attach(sets, ready, PAIR_KEY).where(matches_constraints()).drop("labels", "taints")
-    return attach(asked, allowed, [PAIR_KEY, *CONSTRAINTS], spread_by=["pod_id"]).where(
-        fits_total())
+        c: F.coalesce(c, F.array().cast(pods.schema[c].dataType)) for c in CONSTRAINTS}).withColumn(
+        "_set", F.xxhash64(*CONSTRAINTS))
+    sets = asked.select(PAIR_KEY, "_set", *CONSTRAINTS).distinct()
+    # What only the checks need stays out of the rows that pods are joined with.
+    unused = [c for c in ("labels", "taints", "conditions", "unschedulable") if c in ready.columns]
+    allowed = attach(sets, ready, PAIR_KEY).where(matches_constraints()).drop(*unused)
+    renamed = allowed.withColumnsRenamed({c: f"_{c}" for c in CONSTRAINTS})
+    same = F.lit(True)
+    for c in CONSTRAINTS:
+        same &= F.col(c) == F.col(f"_{c}")
+    return attach(asked, renamed, [PAIR_KEY, "_set"], spread_by=["pod_id"]).where(same).where(
+        fits_total()).drop("_set", *[f"_{c}" for c in CONSTRAINTS])
 
 
 def online_score(pairs: DataFrame) -> DataFrame:

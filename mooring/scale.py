@@ -4,27 +4,38 @@ from pyspark.sql import functions as F
 
 from mooring.session import cut_lineage
 
-# Dimension rows are a few hundred bytes wide, so this many stay near 100 MB.
-BROADCAST_ROWS = 200_000
+#: Most bytes of a side that is broadcast: it is held by the driver and by every executor.
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most max_rows rows, by a distributed count."""
-    return df.select(F.lit(1)).count() <= max_rows
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of df's values, by one distributed sum: nested and text columns as they are written."""
+    flat = [c for c, kind in df.dtypes if not kind.startswith(("string", "array", "map", "struct",
+                                                               "binary"))]
+    varying = [c for c in df.columns if c not in flat]
+    size = F.lit(16 + 8 * len(flat)).cast("long")
+    if varying:
+        size += F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in varying])))
+    return df.select(F.sum(size)).first()[0] or 0
 
 
-def attach(big: DataFrame, small: DataFrame, on, how="inner", max_rows=BROADCAST_ROWS,
+def is_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when df is small enough to be broadcast, by its measured bytes."""
+    return measured_bytes(df) <= max_bytes
+
+
+def attach(big: DataFrame, small: DataFrame, on, how="inner", max_bytes=BROADCAST_BYTES,
            salts=SALTS, spread_by=None, bounded=None) -> DataFrame:
     """Join a large frame to a dimension without moving a hot key to one task.
 
-    The dimension is broadcast only when its counted size is bounded. Beyond
+    The dimension is broadcast only when its measured size is bounded. Beyond
     that the large side is salted and the dimension repeated once per salt, so
     that a key holding a third of all rows is spread over `salts` tasks.
     """
     on = [on] if isinstance(on, str) else list(on)
     if bounded is None:
-        bounded = is_bounded(small, max_rows)
+        bounded = is_bounded(small, max_bytes)
     if bounded:
         return big.join(F.broadcast(small), on, how)
     salt_source = spread_by or [c for c in big.columns if c not in on] or big.columns

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mooring.operators import candidates as cand
 from mooring.operators import labelling, replay, validation
-from mooring.scale import attach, exact_median, positions
+from mooring.scale import attach, exact_median, is_bounded, measured_bytes, positions
 from conftest import make_nodes, make_pods
 
 
@@ -52,6 +52,14 @@ def test_attach_gives_equal_rows_broadcast_and_salted(spark):
         assert one.count() == two.count()
 
 
+def test_broadcast_is_decided_by_bytes(spark):
+    narrow = spark.range(1000)
+    wide = narrow.select("id", F.array_repeat(F.lit("x" * 100), 10).alias("texts"))
+    assert 8_000 <= measured_bytes(narrow) <= 40_000 and measured_bytes(wide) > 1_000_000
+    assert is_bounded(narrow, 100_000) and not is_bounded(wide, 100_000)
+    assert measured_bytes(narrow.where("id < 0")) == 0
+
+
 def test_median(spark):
     rng = random.Random(3)
     for size in (1, 2, 501, 1000):
