@@ -1,11 +1,11 @@
 """Candidate pairs, snapshots and the joins around them."""
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.constants import DEFAULT_SNAPSHOT
 from mooring.functions.features import current_percents
 from mooring.operators.predicates import is_active
-from mooring.scale import attach, is_bounded, spread_by_event
+from mooring.scale import attach, is_bounded, positions, spread_by_event
 
 PAIR_KEY = "cluster_id"
 
@@ -46,9 +46,11 @@ def bound_pod_count(pods: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("current_pod_count"))
 
 
-def snapshot(nodes: DataFrame, usage: DataFrame, pod_counts: DataFrame) -> DataFrame:
-    """Capacity with latest usage and pod count; missing parts are zero."""
-    joined = nodes.join(usage, "node_id", "left").join(pod_counts, "node_id", "left")
+def snapshot(nodes: DataFrame, usage: DataFrame | None, pod_counts: DataFrame) -> DataFrame:
+    """Capacity with latest usage and pod count; missing parts, or no usage source, are zero."""
+    joined = nodes.join(pod_counts, "node_id", "left")
+    joined = joined.join(usage, "node_id", "left") if usage is not None else joined.withColumns(
+        {c: F.lit(None).cast("double") for c in ("current_cpu_usage", "current_memory_usage")})
     filled = joined.withColumns({
         "current_cpu_usage": F.coalesce("current_cpu_usage", F.lit(0.0)),
         "current_memory_usage": F.coalesce("current_memory_usage", F.lit(0.0)),
@@ -67,6 +69,26 @@ def latest_usage(samples: DataFrame) -> DataFrame:
     )
 
 
+def rolling_mean(samples: DataFrame, columns: dict, rows: int = 12, node="node_id",
+                 order=("ts", "sample_id"), block: int = 4096) -> DataFrame:
+    """Adds the mean of each node's last `rows` samples; columns maps new names to values.
+
+    Samples are numbered per node by a distributed sort and cut into blocks; the last rows of a block
+    are repeated in the next one. A window holds one block, so a node with a third of all samples is
+    spread over as many tasks as it has blocks.
+    """
+    placed = positions(samples, node, list(order))
+    at = F.col("position") - 1
+    own = F.floor(at / block).cast("long")
+    carried = (at % block >= block - (rows - 1)) & (F.col("position") < F.col("group_rows"))
+    blocks = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    last = Window.partitionBy(node, "_block").orderBy("position").rowsBetween(1 - rows, 0)
+    means = spread.withColumns({name: F.avg(c).over(last) for name, c in columns.items()})
+    return means.where(F.col("_own") == F.col("_block")).drop(
+        "_own", "_block", "position", "group_rows")
+
+
 def with_default_snapshot(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Left-joins the node snapshot; an unknown node gets the default one."""
     joined = attach(rows, snapshots.withColumn("_known", F.lit(True)), "node_id", "left")

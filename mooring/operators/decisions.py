@@ -95,9 +95,12 @@ def pod_map(pods: DataFrame, node="bound_node") -> DataFrame:
         F.max("pod_id").alias("last_pod"))
 
 
-def pod_map_rows(pods: DataFrame, node="bound_node") -> DataFrame:
-    """The pod map row by row, placed under its node and sorted inside it."""
-    return pods.select(F.coalesce(node, F.lit("pending")).alias("node"), "pod_id", "phase")
+def pod_map_rows(pods: DataFrame, previous: DataFrame, node="bound_node") -> DataFrame:
+    """The pod map row by row: node ("pending" where unbound), pod, phase, and whether it is new."""
+    known = previous.select("pod_id").distinct().withColumn("_known", F.lit(True))
+    return pods.select(F.coalesce(node, F.lit("pending")).alias("node"), "pod_id", "phase").join(
+        known, "pod_id", "left").select(
+        "node", "pod_id", "phase", F.col("_known").isNull().alias("is_new"))
 
 
 def new_pods(current: DataFrame, previous: DataFrame) -> DataFrame:

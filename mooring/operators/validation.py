@@ -242,12 +242,14 @@ def target_correlations(labelled: DataFrame, columns, target="teacher_score", k=
     return found.orderBy(strength.desc(), F.col("name").desc()).limit(k)
 
 
-def correlated_pairs(labelled: DataFrame, columns, at_least=0.95) -> DataFrame:
-    """Column pairs whose absolute correlation reaches at_least."""
+def correlated_pairs(labelled: DataFrame, columns, at_least=0.95, k=None) -> DataFrame:
+    """Column pairs whose absolute correlation reaches at_least, strongest first, at most k."""
     matrix = _correlations(labelled, columns)
     rows = [(columns[i], columns[j], float(abs(matrix[i, j])))
             for i, j in combinations(range(len(columns)), 2) if abs(matrix[i, j]) >= at_least]
-    return labelled.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    rows = sorted(rows, key=lambda r: (round(r[2], 9), r[0], r[1]), reverse=True)[:k]
+    return labelled.sparkSession.createDataFrame(
+        [(i + 1, *r) for i, r in enumerate(rows)], "place long, a string, b string, corr double")
 
 
 def dataset_size(labelled: DataFrame) -> DataFrame:

@@ -240,6 +240,31 @@ def src_usage(spark, sf):
         F.col("current_memory_usage").alias("mem"))
 
 
+@register("rolling_mean", query("""
+SELECT event_id AS sample_id, user_id AS node_id, round_even(avg(value) OVER w, 6) AS cpu_mean,
+       round_even(avg(CAST(event_id * 13 % 100 AS DOUBLE)) OVER w, 6) AS mem_mean
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+                         ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""))
+def rolling_mean(spark, sf):
+    means = cand.rolling_mean(fleet.telemetry(spark, sf), {
+        "cpu_mean": F.col("cpu_sample"), "mem_mean": F.col("mem_sample")})
+    return means.select("sample_id", "node_id", F.bround("cpu_mean", 6).alias("cpu_mean"),
+                        F.bround("mem_mean", 6).alias("mem_mean"))
+
+
+@register("usage_absent", query("""
+SELECT n.node_id, 0e0 AS cpu, 0e0 AS mem, coalesce(p.n, 0) AS pods
+FROM node n LEFT JOIN (SELECT l_suppkey AS node_id, count(*) AS n FROM lineitem GROUP BY 1) p
+  USING (node_id)""", "node"))
+def usage_absent(spark, sf):
+    """The snapshot where no usage source answers: capacity and pods, usage zero."""
+    capacity = fleet.with_capacity(fleet.with_cluster_size(fleet.bare_nodes(spark, sf)))
+    taken = cand.snapshot(capacity, None, cand.bound_pod_count(fleet.running_pods(spark, sf)))
+    return taken.select("node_id", F.col("current_cpu_usage").alias("cpu"),
+                        F.col("current_memory_usage").alias("mem"),
+                        F.col("current_pod_count").alias("pods"))
+
+
 @register("snapshot_join", query(f"""
 SELECT n.node_id, n.cluster_size, n.alloc_cpu, n.alloc_mem, coalesce(u.cpu, 0e0) AS cpu,
        coalesce(u.mem, 0e0) AS mem,

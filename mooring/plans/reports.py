@@ -211,7 +211,19 @@ WHERE r.corr >= 0.95e0 AND NOT isnan(r.corr)""", "labelled")
 @register("corr_pairs", _pairs_sql())
 def corr_pairs(spark, sf):
     return rounded(validation.correlated_pairs(labelled(spark, sf), ANALYSIS_FEATURES), "corr",
-                   digits=5)
+                   digits=5).drop("place")
+
+
+@register("corr_pairs_top", f"""
+SELECT place, a, b, corr FROM (
+  SELECT row_number() OVER (ORDER BY strength DESC, a DESC, b DESC) AS place, * FROM (
+    {_pairs_sql().replace("round_even(r.corr, 5) AS corr",
+                          "round_even(r.corr, 5) AS corr, round(r.corr, 9) AS strength")}))
+WHERE place <= 10""")
+def corr_pairs_top(spark, sf):
+    """The ten strongest pairs with their place."""
+    return rounded(validation.correlated_pairs(labelled(spark, sf), ANALYSIS_FEATURES, k=10),
+                   "corr", digits=5)
 
 
 @register("dataset_size", query(f"""
@@ -382,6 +394,18 @@ def pod_map(spark, sf):
     return decisions.pod_map(fleet.pods(spark, sf))
 
 
+@register("pod_map_rows", query("""
+SELECT CASE WHEN o_orderstatus = 'P' THEN 'node-' || o_orderkey % 97 ELSE 'pending' END AS node,
+       o_orderkey AS pod_id, CASE WHEN o_orderstatus = 'F' THEN 'Succeeded' ELSE 'Pending' END AS phase,
+       o_orderdate >= (SELECT max(o_orderdate) - INTERVAL '30 days' FROM orders) AS is_new
+FROM orders"""))
+def pod_map_rows(spark, sf):
+    """Against a snapshot of thirty days before the newest arrival."""
+    pods = fleet.pods(spark, sf)
+    border = pods.select((F.max("arrival_ts") - F.expr("INTERVAL '30' DAY")).alias("t")).scalar()
+    return decisions.pod_map_rows(pods, pods.where(F.col("arrival_ts") < border))
+
+
 @register("determinism_check", query("""
 SELECT count(*) AS inputs, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous
 FROM (SELECT cluster_size, alloc_cpu, alloc_mem, used_cpu, used_mem, pods, req_cpu, req_mem,

@@ -12,11 +12,30 @@ from mooring.operators.labelling import label_dataset
 from mooring.session import scratch_path
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table as a file stream with its stored schema."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=64) -> DataFrame:
+    """One given table, a file or a folder of files, as a file stream with its stored schema."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option(
-        "pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
+        "maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def split_table(spark: SparkSession, sf_dir: str, name: str, order: str, path: str, files=8,
+                newest_first=True) -> str:
+    """A table as files by ranges of a column, one written after the other. Returns a folder.
+
+    For trying a job: rows come in many micro-batches, and against their order in time or with it.
+    """
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    second = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = table.select(second.cast("double").alias("s")).approxQuantile(
+        "s", [i / files for i in range(1, files)], 0.01)
+    part = sum((F.when(second > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for i in range(files):
+        wanted = files - 1 - i if newest_first else i
+        table.where(part == wanted).coalesce(1).write.mode("append").parquet(
+            f"{path}/{name}.parquet")
+    return path
 
 
 def folder_stream(spark: SparkSession, path: str, files_per_trigger=1) -> DataFrame:
@@ -52,28 +71,61 @@ def run_batches(stream: DataFrame, path: str, transform, mode="append") -> DataF
 def snapshot(samples: DataFrame, path: str) -> DataFrame:
     """Nodes of the newest poll, each with its last sample.
 
-    A newer poll replaces the whole snapshot, so nodes it lacks disappear; a
-    poll that brought nothing leaves the previous one in place.
+    Each batch replaces the stored snapshot by that of the newest poll seen so far: a newer poll
+    takes the place of all nodes, an older one, coming late, changes nothing. What is kept is one
+    poll, whatever the number of batches.
     """
-    order = F.struct("ts", "sample_id")
+    spark = samples.sparkSession
+    last = [None]
 
-    def newest(batch: DataFrame) -> DataFrame:
-        latest = batch.select(F.max("poll_ts")).scalar()
-        return batch.where(F.col("poll_ts") == latest)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch
+        if batch_id:
+            kept = kept.unionByName(spark.read.schema(batch.schema).parquet(
+                f"{path}/batch={batch_id - 1}"))
+        newest = F.max_by(F.struct(*batch.columns), F.struct("ts", "sample_id")).alias("row")
+        polls = kept.groupBy("poll_ts", "node_id").agg(newest).select("row.*")
+        polls.where(F.col("poll_ts") == kept.select(F.max("poll_ts")).scalar()).write.mode(
+            "overwrite").parquet(f"{path}/batch={batch_id}")
+        last[0] = batch_id
+
+    _drain(samples.writeStream.foreachBatch(write), spark)
+    current = spark.read.schema(samples.schema).parquet(f"{path}/batch={last[0]}")
+    return current.select("poll_ts", "node_id", F.col("cpu_sample").alias("current_cpu_usage"),
+                          F.col("mem_sample").alias("current_memory_usage"))
+
+
+def _first_seen(batch: DataFrame, path: str, batch_id: int, key: str) -> DataFrame:
+    """Rows of the batch whose key no earlier batch has written, each key once.
+
+    The table written so far is what is remembered: no event time, no watermark, so no row is ever
+    late, and no state in memory. Only its key column is read.
+    """
+    fresh = batch.dropDuplicates([key])
+    if batch_id == 0:
+        return fresh
+    spark = batch.sparkSession
+    done = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch long").option(
+        "basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") < batch_id)
+    return fresh.join(done.select(key), key, "left_anti")
 
-    stored = run_batches(samples, path, newest)
-    latest = stored.select(F.max("poll_ts")).scalar()
-    return stored.where(F.col("poll_ts") == latest).groupBy("poll_ts", "node_id").agg(
-        F.max_by("cpu_sample", order).alias("current_cpu_usage"),
-        F.max_by("mem_sample", order).alias("current_memory_usage"))
 
+def _once_per_key(stream: DataFrame, path: str, key: str) -> DataFrame:
+    """Table of the first row of every key, over any number of batches in any order."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _first_seen(batch, path, batch_id, key).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}")
+
+    _drain(stream.writeStream.foreachBatch(write), spark)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
 
-def pending(pods: DataFrame, path: str, delay="30 days") -> DataFrame:
+
+def pending(pods: DataFrame, path: str) -> DataFrame:
     """Newly admitted pods: opted in, unbound, live, each once."""
-    seen = placement.pending_pods(pods.withColumn(
-        "arrival_ts", F.col("arrival_ts").cast("timestamp"))).withWatermark("arrival_ts", delay)
-    admitted = seen.dropDuplicatesWithinWatermark(["pod_id"])
-    return run_to_table(admitted.select("pod_id", "cluster_id", "scenario"), path)
+    admitted = placement.pending_pods(pods).select("pod_id", "cluster_id", "scenario")
+    return _once_per_key(admitted, path, "pod_id")
 
 
 def place(pods: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
@@ -82,14 +134,24 @@ def place(pods: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
                        lambda batch: placement.place(batch, nodes)).drop("batch")
 
 
-def load_windows(log: DataFrame, path: str, width="5 seconds", delay="10 minutes") -> DataFrame:
-    """Counters per closed tumbling window."""
-    windows = log.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(
-        *decisions.load_columns())
+def load_windows(log: DataFrame, path: str, width="5 seconds") -> DataFrame:
+    """Counters per tumbling window, over all requests.
+
+    Each batch leaves its own partial sums per window, and reading adds them up: a request may come
+    in any batch, and a window is never closed.
+    """
+    failed = F.sum(F.when(F.col("failed"), 1).otherwise(0))
+    parts = run_batches(log, path, lambda batch: batch.groupBy(F.window("ts", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("sent"), failed.alias("failed"),
+        F.sum("latency_ms").alias("latency"), F.count("latency_ms").alias("measured")))
+    whole = parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in (
+        "sent", "failed", "latency", "measured")])
     seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
-    return run_to_table(windows.select(
-        F.col("w.start").alias("window_start"), "sent", "success", "failed", "avg_latency_ms",
-        (F.col("sent") / seconds).alias("rps")), path)
+    return whole.select(
+        F.col("w.start").alias("window_start"), "sent",
+        (F.col("sent") - F.col("failed")).alias("success"), "failed",
+        F.when(F.col("measured") > 0, F.col("latency") / F.col("measured")).otherwise(0.0)
+        .alias("avg_latency_ms"), (F.col("sent") / seconds).alias("rps"))
 
 
 def counters(log: DataFrame, path: str) -> DataFrame:
@@ -99,10 +161,9 @@ def counters(log: DataFrame, path: str) -> DataFrame:
     return stored.where(F.col("batch") == stored.select(F.max("batch")).scalar()).drop("batch")
 
 
-def new_pods(pods: DataFrame, path: str, event_time="seen_ts", delay="30 days") -> DataFrame:
+def new_pods(pods: DataFrame, path: str) -> DataFrame:
     """First sighting of every pod id."""
-    first = pods.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["pod_id"])
-    return run_to_table(first.select("pod_id"), path)
+    return _once_per_key(pods.select("pod_id"), path, "pod_id")
 
 
 def _partials():

@@ -87,21 +87,43 @@ def test_new_pods_are_seen_once(spark, tmp_path):
     assert sorted(r.pod_id for r in rows) == [1, 2, 3]
 
 
-def test_load_windows_drop_only_late_rows(spark, tmp_path):
+def test_load_windows_lose_no_row(spark, tmp_path):
     def log(*seconds):
         start = datetime.datetime(2024, 1, 1)
         return spark.createDataFrame(
             [(start + datetime.timedelta(seconds=s), s % 2 == 0, float(s)) for s in seconds],
             "ts timestamp, failed boolean, latency_ms double")
 
-    stream = batches(spark, str(tmp_path / "in"), [log(1, 2, 7), log(3, 40), log(100), log(4, 160)])
-    rows = jobs.load_windows(stream, str(tmp_path / "out"), "5 seconds", "10 seconds").orderBy(
+    stream = batches(spark, str(tmp_path / "in"), [log(160), log(100, 1, 2, 7), log(40, 3), log(4)])
+    rows = jobs.load_windows(stream, str(tmp_path / "out"), "5 seconds").orderBy(
         "window_start").collect()
-    # Second 3 is within the delay, second 4 arrives behind the watermark.
     start = datetime.datetime(2024, 1, 1)
-    assert [((r.window_start - start).seconds, r.sent, r.failed) for r in rows] == [
-        (0, 3, 1), (5, 1, 0), (40, 1, 1), (100, 1, 1)]
-    assert rows[0].rps == pytest.approx(3 / 5)
+    assert [((r.window_start - start).seconds, r.sent, r.failed, r.avg_latency_ms) for r in rows] == [
+        (0, 4, 2, 2.5), (5, 1, 0, 7.0), (40, 1, 1, 40.0), (100, 1, 1, 100.0), (160, 1, 1, 160.0)]
+    assert rows[0].rps == pytest.approx(4 / 5)
+
+
+def test_pending_keeps_every_pod_over_shuffled_files(spark, sf, tmp_path):
+    folder = jobs.split_table(spark, sf, "orders", "o_orderdate", str(tmp_path / "feed"))
+    source = jobs.file_stream(spark, folder, "orders", files_per_trigger=1)
+    found = jobs.pending(fleet.pods(spark, sf, source), str(tmp_path / "out"))
+    expected = placement.pending_pods(fleet.pods(spark, sf)).select(found.columns)
+    assert found.count() == expected.count() > 0 and found.exceptAll(expected).count() == 0
+
+
+def test_stateful_placement_follows_ingest_order(spark, tmp_path):
+    """Batches against the order in time: like a replay in the order in which they came."""
+    node_rows, pod_rows = random_fleet(12)
+    nodes = make_nodes(spark, node_rows)
+    pods = make_pods(spark, pod_rows)
+    late, early = pods.where("arrival_ts >= '2024-01-05'"), pods.where("arrival_ts < '2024-01-05'")
+    stream = batches(spark, str(tmp_path / "in"), [late, early])
+    found = stateful.stream_replay(stream, nodes, str(tmp_path / "arrivals"),
+                                   str(tmp_path / "placed")).collect()
+    ingested = late.withColumn("arrival_ts", F.expr("arrival_ts - INTERVAL 1000 DAYS")).union(early)
+    expected = replay.replay(ingested, nodes).collect()
+    assert {(r.event_id, r.episode, r.step, r.node_id) for r in found} == {
+        (r.event_id, r.episode, r.step, r.node_id) for r in expected}
 
 
 def test_streamed_counters_and_validation_equal_batch(spark, sf, tmp_path):
