@@ -41,7 +41,7 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     sizes = docs.sparkSession.createDataFrame(sizes, "lang string, size long")
     share = F.lit(2.0 * chars) / F.greatest(F.col("size"), F.lit(1))
     drawn = known.join(F.broadcast(sizes), "lang").where(
-        (F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= share) | (F.col("size") <= 64 * chars))
+        (F.col("h").cast("double") / 2.0 ** 64 + 0.5 <= share) | (F.col("size") <= 8 * chars))
     # The fewest texts that reach `chars`: those at whose start the sum is still below.
     before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(
         Window.unboundedPreceding, -1)
