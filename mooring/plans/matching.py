@@ -8,7 +8,7 @@ from mooring.operators.labelling import label_dataset
 from mooring.operators.predicates import claim_names, has_claims
 from mooring.plans.oracle_base import query
 from mooring.plans.registry import register
-from mooring.plans.scalars import nominated, status
+from mooring.plans.scalars import status
 from mooring.sources import fleet
 
 
@@ -205,9 +205,9 @@ def preferred_set(spark, sf):
 @register("feasible_only", query("""
 SELECT event_id, node_id, req_cpu AS requested_cpu, round_even(proj_cpu, 6) AS
        projected_cpu_percent, round_even(t_score, 6) AS teacher_score
-FROM nominated_fit""", "nominated_fit"))
+FROM fit""", "fit"))
 def feasible_only(spark, sf):
-    kept = predicates.feasible_only(nominated(spark, sf), [
+    kept = predicates.feasible_only(label_dataset(fleet.pods(spark, sf), fleet.nodes(spark, sf)), [
         "event_id", "node_id", "requested_cpu", "projected_cpu_percent", "teacher_score"])
     return kept.withColumns({c: F.bround(c, 6) for c in (
         "projected_cpu_percent", "teacher_score")})
@@ -327,9 +327,9 @@ def stressed_flag(spark, sf):
 
 @register("pred_join", query("""
 SELECT event_id, node_id, round_even(t_score, 6) AS teacher_score, heur AS pred
-FROM nominated_fit""", "nominated_fit"))
+FROM fit""", "fit"))
 def pred_join(spark, sf):
-    labelled = nominated(spark, sf).where("feasible")
+    labelled = label_dataset(fleet.pods(spark, sf), fleet.nodes(spark, sf)).where("feasible")
     predictions = labelled.select("event_id", "node_id", scoring.heuristic_score().alias("pred"))
     return labelled.select("event_id", "node_id", "teacher_score").join(
         predictions, ["event_id", "node_id"]).select(

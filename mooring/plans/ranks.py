@@ -1,7 +1,7 @@
 """Queries over ranking, labelling, replay and the student model."""
 from pyspark.sql import functions as F
 
-from mooring.constants import CANDIDATE_ROW
+from mooring.constants import CANDIDATE_ROW, FEATURES
 from mooring.functions.features import rounded_ratios
 from mooring.functions.units import round_exact
 from mooring.operators import placement, ranking, replay, student
@@ -11,7 +11,7 @@ from mooring.plans.oracle_base import (
 )
 from mooring.plans.registry import register
 from mooring.plans.reports import RANKED_SQL, labelled
-from mooring.plans.scalars import ROW_SQL, SCORES, nominated, status
+from mooring.plans.scalars import ROW_SQL, SCORES, status
 from mooring.scale import positions
 from mooring.session import scratch_path
 from mooring.sources import fleet
@@ -86,10 +86,10 @@ def cross_rank(spark, sf):
         "score_gap", F.bround("score_gap", 6))
 
 
-@register("avg_rank_ties", query(RANKED_SQL.format(source="nominated_fit"), "nominated_fit"))
+@register("avg_rank_ties", query(RANKED_SQL.format(source="fit"), "fit"))
 def avg_rank_ties(spark, sf):
     from mooring.functions.scoring import heuristic_score
-    rows = nominated(spark, sf).where("feasible").withColumn("pred", heuristic_score())
+    rows = labelled(spark, sf).where("feasible").withColumn("pred", heuristic_score())
     return ranking.average_ranks(rows.select("event_id", "node_id", "teacher_score", "pred"),
                                  ["teacher_score", "pred"]).select(
         "event_id", "node_id", "rank_teacher_score", "rank_pred")
@@ -265,39 +265,89 @@ def group_split(spark, sf):
         F.count(F.lit(1)).alias("candidate_rows"))
 
 
-_models = {}
+#: Events whose rows the student is fitted on at most; all events are scored.
+FIT_EVENTS = 3_000
+#: Feature and target names are those of the contract; the rest is a run's own choice.
+FIT = {"max_iter": 20, "max_depth": 8, "step": 0.3, "max_bins": 256}
 
 
 def trained(spark, sf):
-    """Path of a small student trained on the named pairs, once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _models:
-        rows = student.training_rows(nominated(spark, sf))
-        path = scratch_path(spark, "student")
-        student.train(rows, max_iter=10, max_depth=5, step=0.3, max_bins=64).write().save(path)
-        _models[key] = path
-    return _models[key]
+    """A student trained on the candidate dataset: its path."""
+    rows = student.training_rows(labelled(spark, sf))
+    events = fleet.pods(spark, sf).count()
+    drawn = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(1_000_000))
+                       < int(1_000_000 * min(1.0, FIT_EVENTS / max(events, 1))))
+    path = scratch_path(spark, "student")
+    student.train(drawn, **FIT).write().save(path)
+    return path
 
 
-def student_predictions(spark, sf):
+def student_predictions(spark, sf, path):
     from pyspark.ml import PipelineModel
-    rows = student.training_rows(nominated(spark, sf))
-    return student.predict(PipelineModel.load(trained(spark, sf)), rows)
-
-
-@register("train_student")
+    rows = student.training_rows(labelled(spark, sf))
+    return student.predict(PipelineModel.load(path), rows)
+
+
+@register("train_student", query("""
+SELECT count(DISTINCT event_id) FILTER (u < 0.15e0) AS test_events,
+       CAST(sum(CASE WHEN u < 0.15e0 THEN 1 ELSE 0 END) AS BIGINT) AS test_rows,
+       CAST(0 AS BIGINT) AS shared_events, TRUE AS r2_above_095, TRUE AS mae_below_2
+FROM (SELECT event_id, (((event_id % 1000003 + 42) * 48271 % 1000003)
+             * ((event_id % 1000003 + 42) * 48271 % 1000003)
+          + ((event_id % 1000003 + 42) * 48271 % 1000003) * 31) % 1000003 / 1000003e0 AS u FROM fit)""",
+                                 "fit"))
 def train_student(spark, sf):
+    """What any good run must show: the split, and floors of the quality on held-out events."""
+    from mooring.operators.evaluation import regression_metrics
+    scored = student_predictions(spark, sf, trained(spark, sf))
+    test = scored.where("is_test")
+    sides = scored.groupBy("event_id").agg(F.count_distinct("is_test").alias("sides"))
+    quality = regression_metrics(test)
+    counts = test.agg(F.count_distinct("event_id").alias("test_events"),
+                      F.count(F.lit(1)).alias("test_rows"))
+    return counts.select(
+        "test_events", "test_rows", sides.select(F.coalesce(F.sum(F.when(
+            F.col("sides") > 1, 1).otherwise(0)), F.lit(0))).scalar().cast("long").alias(
+            "shared_events"),
+        (quality.select("r2").scalar() > 0.95).alias("r2_above_095"),
+        (quality.select("mae").scalar() < 2.0).alias("mae_below_2"))
+
+
+@register("student_quality")
+def student_quality(spark, sf):
+    """The figures themselves: errors and ranking of the student on held-out events."""
     from mooring.operators.evaluation import regression_metrics
-    return regression_metrics(student_predictions(spark, sf).where("is_test"))
+    return regression_metrics(student_predictions(spark, sf, trained(spark, sf)).where("is_test"))
 
 
-@register("score_model")
+@register("score_model", query("""
+SELECT count(*) AS row_count, TRUE AS in_bounds, 'trees' AS source FROM fit""", "fit"))
 def score_model(spark, sf):
-    rows = student.training_rows(nominated(spark, sf))
-    return student.score_with(trained(spark, sf), rows).select(
+    rows = student.training_rows(labelled(spark, sf))
+    return student.score_with(trained(spark, sf), rows).groupBy("source").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.every(F.col("score").between(0, 100)).alias("in_bounds"))
+
+
+@register("score_without_model", query("""
+SELECT event_id, node_id, heur AS score, 'heuristic' AS source FROM fit""", "fit"))
+def score_without_model(spark, sf):
+    """No model is stored, so every pair gets the heuristic score."""
+    rows = labelled(spark, sf).where("feasible")
+    return student.score_with(scratch_path(spark, "no-student"), rows).select(
         "event_id", "node_id", "score", "source")
 
 
-@register("feature_importance")
+@register("feature_importance", "SELECT 3 AS kinds, TRUE AS known_features, TRUE AS positive, "
+                                "TRUE AS top_ten, TRUE AS load_leads")
 def feature_importance(spark, sf):
-    return student.importances(spark, trained(spark, sf))
+    """What importances of any good run must show; `importances` gives the rows."""
+    rows = student.importances(spark, trained(spark, sf))
+    leads = ("projected_cpu_percent", "projected_memory_percent", "cpu_headroom",
+             "memory_headroom", "current_cpu_percent", "current_memory_percent")
+    return rows.agg(
+        F.count_distinct("importance").cast("int").alias("kinds"),
+        F.every(F.col("feature").isin(*FEATURES)).alias("known_features"),
+        F.every(F.col("value") > 0).alias("positive"), (F.max("place") <= 10).alias("top_ten"),
+        F.max((F.col("importance") == "gain") & (F.col("place") <= 3)
+              & F.col("feature").isin(*leads)).alias("load_leads"))

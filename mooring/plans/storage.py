@@ -8,14 +8,19 @@ from mooring.operators import decisions, evaluation, validation
 from mooring.plans.matching import count_sql
 from mooring.plans.oracle_base import query
 from mooring.plans.registry import register
-from mooring.plans.reports import COUNTERS_SQL, rounded
-from mooring.plans.scalars import ROW_SQL, comparable_row, nominated
+from mooring.plans.reports import COUNTERS_SQL, labelled, rounded
+from mooring.plans.scalars import ROW_SQL, comparable_row
 from mooring.session import scratch_path
 from mooring.sources import datasets, fleet, sinks
 
+#: Per event, what shows that all rows of the candidate dataset came back as they were.
 STORED_SQL = f"""
-SELECT event_id, node_id, teacher_rank, feasible, reject_reason, cpu_headroom, teacher_score
-FROM ({ROW_SQL})"""
+SELECT event_id, count(*) AS nodes, min(node_id) AS first_node, max(node_id) AS last_node,
+       CAST(sum(CASE WHEN feasible THEN 1 ELSE 0 END) AS BIGINT) AS feasible_rows,
+       CAST(sum(teacher_rank) AS BIGINT) AS ranks,
+       CAST(sum(length(reject_reason)) AS BIGINT) AS reject_letters,
+       round_even(sum(cpu_headroom), 6) AS headroom, round_even(sum(teacher_score), 6) AS scores
+FROM ({ROW_SQL.replace("nominated_l", "labelled")}) GROUP BY event_id"""
 
 
 def stored_columns(df):
@@ -23,23 +28,37 @@ def stored_columns(df):
                      "cpu_headroom", "teacher_score")
 
 
-@register("src_dataset", query(STORED_SQL, "nominated_l"))
+def stored_digest(rows):
+    return rows.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.min("node_id").alias("first_node"),
+        F.max("node_id").alias("last_node"),
+        F.sum(F.when(F.col("feasible"), 1).otherwise(0)).alias("feasible_rows"),
+        F.sum("teacher_rank").cast("long").alias("ranks"),
+        F.sum(F.length("reject_reason")).cast("long").alias("reject_letters"),
+        F.bround(F.sum("cpu_headroom"), 6).alias("headroom"),
+        F.bround(F.sum("teacher_score"), 6).alias("scores"))
+
+
+@register("src_dataset", query(STORED_SQL, "labelled"))
 def src_dataset(spark, sf):
     """Missing explicit path, so the stored Parquet copy is read."""
-    path = sinks.write_parquet(comparable_row(nominated(spark, sf)),
+    path = sinks.write_parquet(comparable_row(labelled(spark, sf)),
                                scratch_path(spark, "dataset"))
-    return stored_columns(datasets.load_dataset(spark, path + "-absent", parquet=path))
+    return stored_digest(datasets.load_dataset(spark, path + "-absent", parquet=path))
 
 
 @register("src_schema_check", query(
-    "SELECT 20 AS required, 0 AS missing, count(*) AS row_count FROM nominated_l",
-    "nominated_l"))
+    "SELECT 20 AS required, 0 AS missing, 44 AS columns, count(*) AS row_count FROM labelled",
+    "labelled"))
 def src_schema_check(spark, sf):
-    rows = datasets.check_columns(nominated(spark, sf))
+    """Columns of the stored dataset, as read back, against the contract."""
+    path = sinks.write_parquet(comparable_row(labelled(spark, sf)),
+                               scratch_path(spark, "dataset"))
+    rows = datasets.check_columns(datasets.load_dataset(spark, path))
     return rows.agg(
         F.lit(len(FEATURES) + len([TARGET, GROUP])).alias("required"),
         F.lit(len(datasets.missing_columns(rows))).alias("missing"),
-        F.count(F.lit(1)).alias("row_count"))
+        F.lit(len(rows.columns)).alias("columns"), F.count(F.lit(1)).alias("row_count"))
 
 
 @register("src_nodes", query("""
@@ -70,28 +89,28 @@ def src_sample(spark, sf):
     return datasets.first_rows(rows, 50_000, order)
 
 
-@register("sink_csv", query(STORED_SQL, "nominated_l"))
+@register("sink_csv", query(STORED_SQL, "labelled"))
 def sink_csv(spark, sf):
-    rows = stored_columns(comparable_row(nominated(spark, sf)))
+    rows = stored_columns(comparable_row(labelled(spark, sf)))
     path = sinks.write_csv(rows, scratch_path(spark, "dataset") + ".csv")
     loaded = datasets.load_dataset(spark, csv=path, csv_schema=rows.schema)
-    return loaded.withColumn("reject_reason", F.coalesce("reject_reason", F.lit("")))
+    return stored_digest(loaded.withColumn("reject_reason", F.coalesce("reject_reason", F.lit(""))))
 
 
-@register("sink_parquet", query(STORED_SQL, "nominated_l"))
+@register("sink_parquet", query(STORED_SQL, "labelled"))
 def sink_parquet(spark, sf):
-    path = sinks.write_parquet(stored_columns(comparable_row(nominated(spark, sf))),
+    path = sinks.write_parquet(stored_columns(comparable_row(labelled(spark, sf))),
                                scratch_path(spark, "dataset"))
-    return spark.read.parquet(path)
+    return stored_digest(spark.read.parquet(path))
 
 
 @register("sink_outputs", query(f"""
 SELECT s.store, count(*) AS row_count, {count_sql("feasible", "feasible_rows")},
        round_even(sum(t_score), 3) AS score_sum
-FROM nominated_l, (VALUES ('csv'), ('parquet')) s(store) GROUP BY 1""", "nominated_l"))
+FROM labelled, (VALUES ('csv'), ('parquet')) s(store) GROUP BY 1""", "labelled"))
 def sink_outputs(spark, sf):
     base = scratch_path(spark, "dataset")
-    rows = stored_columns(nominated(spark, sf))
+    rows = stored_columns(labelled(spark, sf))
     sinks.write_outputs(rows, base + ".csv", base + ".parquet")
 
     def summary(name, df):
@@ -108,9 +127,9 @@ def sink_outputs(spark, sf):
 SELECT 18 AS features, count(*) AS row_count, count(DISTINCT event_id) AS events,
        {count_sql("feasible", "feasible_rows")},
        round_even(avg(abs(t_score - heur)) FILTER (feasible), 6) AS mae, 0.15e0 AS test_size
-FROM nominated_l""", "nominated_l"))
+FROM labelled""", "labelled"))
 def sink_metadata(spark, sf):
-    rows = nominated(spark, sf)
+    rows = labelled(spark, sf)
     scored = rows.where("feasible").withColumn("pred", heuristic_score())
     run = sinks.metadata(
         validation.dataset_size(rows), evaluation.regression_metrics(scored), FEATURES,
