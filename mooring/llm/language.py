@@ -22,8 +22,10 @@ from mooring.llm.common import crc_remainder, table, text_workers
 REFERENCE_CHARS = 60_000
 #: Whole texts are parsed in stretches of this many letters; a phrase ends with its stretch.
 STRETCH = 2_048
-#: Texts with fewer letters per phrase than this, in the best language, resemble none.
+#: Texts of MIN_LETTERS or more with fewer letters per phrase than this, in the best language,
+#: resemble none; in shorter ones phrases are too few to tell.
 MIN_PHRASE = 2.0
+MIN_LETTERS = 200
 UNDETERMINED = "und"
 
 
@@ -159,7 +161,7 @@ def phrases(lengths: np.ndarray, letters: np.ndarray, walks: list, stretch: int
 
 
 def _judge(texts: list, model: dict, codes: np.ndarray):
-    """(language, score, letters per phrase) of each text."""
+    """(language, score, letters per phrase, letters) of each text."""
     space = model["alphabet"][" "]
     unknown = len(model["alphabet"])
     lengths, parts = [], []
@@ -183,13 +185,13 @@ def _judge(texts: list, model: dict, codes: np.ndarray):
     out = []
     for i, n in enumerate(lengths):
         if n == 0 or cost.shape[1] == 0:
-            out.append((UNDETERMINED, 0.0, 0.0))
+            out.append((UNDETERMINED, 0.0, 0.0, int(n)))
             continue
         others = np.delete(cost[i], best[i])
         gap = (others.min() - cost[i, best[i]]) / max(n, 1) if len(others) else math.inf
         # Bits per letter by which the runner-up is dearer, as odds.
         out.append((model["langs"][best[i]], 1.0 / (1.0 + 2.0 ** -min(8.0 * gap, 60.0)),
-                    float(n / counts[i, best[i]])))
+                    float(n / counts[i, best[i]]), int(n)))
     return out
 
 
@@ -216,23 +218,24 @@ def _predictor(texts: tuple, text_at: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64()),
-                 pa.array([f[2] for f in found], pa.float64())],
-                names=["row", "pred", "score", "phrase_letters"])
+                 pa.array([f[2] for f in found], pa.float64()),
+                 pa.array([f[3] for f in found], pa.int64())],
+                names=["row", "pred", "score", "phrase_letters", "letters"])
     return run
 
 
 def _predicted(docs: DataFrame, texts: dict, text: str) -> DataFrame:
-    """(row struct, pred, score, phrase_letters)."""
+    """(row struct, pred, score, phrase_letters, letters)."""
     text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = inner.schema["row"].dataType.simpleString()
     return inner.mapInArrow(
         _predictor(tuple(sorted(texts.items())), docs.columns.index(text)),
-        f"row {kind}, pred string, score double, phrase_letters double")
+        f"row {kind}, pred string, score double, phrase_letters double, letters bigint")
 
 
 def identify(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
-    """docs with a struct `language` (pred, score, phrase_letters), one row per row.
+    """docs with a struct `language` (pred, score, phrase_letters, letters), one row per row.
 
     texts: reference text per language, as `sample` gives it. The prediction is `und`, with score 0,
     for a null text, one without a letter, or where no language was learned. Ties go to the language
@@ -241,7 +244,7 @@ def identify(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() != "language"]
     return _predicted(docs.select(*[f"`{c}`" for c in names]), texts, text).select(
-        "row.*", F.struct("pred", "score", "phrase_letters").alias("language"))
+        "row.*", F.struct("pred", "score", "phrase_letters", "letters").alias("language"))
 
 
 def learn(docs: DataFrame) -> dict:
@@ -252,7 +255,8 @@ def learn(docs: DataFrame) -> dict:
 def keep(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
     """Documents in some learned language: others are `und` or fall apart into tiny phrases."""
     return _predicted(docs, texts, text).where(
-        (F.col("pred") != UNDETERMINED) & (F.col("phrase_letters") >= MIN_PHRASE)).select("row.*")
+        (F.col("pred") != UNDETERMINED) & (
+            (F.col("letters") < MIN_LETTERS) | (F.col("phrase_letters") >= MIN_PHRASE))).select("row.*")
 
 
 @register("op1_language")
