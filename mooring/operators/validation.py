@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mooring.constants import GIB
 from mooring.functions.units import round_exact
 from mooring.scale import positions
+from mooring.session import ship_package
 
 PENALTIES = ["cpu_penalty", "memory_penalty", "density_penalty"]
 
@@ -215,6 +216,7 @@ def _correlations(labelled: DataFrame, columns):
     taken relative to those of one row, so large means do not cancel and a
     constant column is exactly zero.
     """
+    ship_package(labelled.sparkSession)
     vectors = labelled.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     origin = vectors.head()
     if origin is None:
