@@ -11,8 +11,8 @@ def scheduled_events(placed: DataFrame, component=SCHEDULER_NAME) -> DataFrame:
         "pod_id",
         F.concat(F.lit("pod-"), "pod_id", F.lit(".scheduled")).alias("event_name"),
         F.lit("Scheduled").alias("reason"), F.lit("Normal").alias("type"),
-        F.concat(F.lit(f"{component} placed pod on node "), F.col("node_name"),
-                 F.lit(" (score: "), F.col("score").cast("string"), F.lit("/100)"))
+        F.concat(F.lit(f"{component} chose "), F.col("node_name"),
+                 F.lit(" with "), F.col("score").cast("string"), F.lit(" of 100 points"))
         .alias("message"))
 
 
@@ -22,9 +22,8 @@ def failed_events(unplaced: DataFrame) -> DataFrame:
         "pod_id",
         F.concat(F.lit("pod-"), "pod_id", F.lit(".failedscheduling")).alias("event_name"),
         F.lit("FailedScheduling").alias("reason"), F.lit("Warning").alias("type"),
-        F.concat(F.lit("0/"), F.col("ready_nodes").cast("string"),
-                 F.lit(" nodes are available: node affinity / taint / capacity constraints"
-                       " are not satisfiable")).alias("message"))
+        F.concat(F.lit("none of "), F.col("ready_nodes").cast("string"),
+                 F.lit(" ready nodes passes taints, affinity and capacity")).alias("message"))
 
 
 def claim_events(pods: DataFrame, component=SCHEDULER_NAME) -> DataFrame:
@@ -32,10 +31,9 @@ def claim_events(pods: DataFrame, component=SCHEDULER_NAME) -> DataFrame:
         "pod_id",
         F.concat(F.lit("pod-"), "pod_id", F.lit(".warning")).alias("event_name"),
         F.lit("PVCBindingRisk").alias("reason"), F.lit("Warning").alias("type"),
-        F.concat(F.lit("pod uses PVC-backed volumes ("), claim_names(F.col("volumes")),
-                 F.lit(f"). {component} binds pods directly, so StorageClasses with"
-                       " WaitForFirstConsumer can deadlock; prefer emptyDir or an"
-                       " immediate-binding StorageClass")).alias("message"))
+        F.concat(F.lit("claims "), claim_names(F.col("volumes")),
+                 F.lit(f" may never bind: {component} binds the pod itself, and a storage class"
+                       " that waits for its first consumer then waits for ever")).alias("message"))
 
 
 def placement_events(pods: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
@@ -111,11 +109,11 @@ def new_pods(current: DataFrame, previous: DataFrame) -> DataFrame:
 def metrics_lines(counters: DataFrame, prefix="placement") -> DataFrame:
     """Counters in text exposition format, one line per row with its place."""
     rows = [
-        ("score_requests_total", "Total scoring requests received", "counter",
+        ("score_requests_total", "Scores asked for so far", "counter",
          F.col("score_requests_total").cast("string")),
-        ("score_fallback_total", "Requests answered by heuristic fallback", "counter",
+        ("score_fallback_total", "Scores given without the service", "counter",
          F.col("score_fallback_total").cast("string")),
-        ("score_latency_ms_avg", "Average scoring latency in milliseconds", "gauge",
+        ("score_latency_ms_avg", "Mean time of a score in milliseconds", "gauge",
          F.format_string("%.4f", F.col("score_latency_ms_avg"))),
     ]
     lines = []

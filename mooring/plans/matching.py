@@ -364,21 +364,19 @@ def profile_join(spark, sf):
 
 EVENTS_SQL = """
 SELECT event_id AS pod_id, 'pod-' || event_id || '.scheduled' AS event_name,
-       'Scheduled' AS reason, 'Normal' AS type, 'placement-scheduler placed pod on node '
-       || n.node_name || ' (score: ' || best_score || '/100)' AS message
+       'Scheduled' AS reason, 'Normal' AS type, 'placement-scheduler chose '
+       || n.node_name || ' with ' || best_score || ' of 100 points' AS message
 FROM placed JOIN node n ON n.node_id = best_id
 UNION ALL
 SELECT event_id, 'pod-' || event_id || '.failedscheduling', 'FailedScheduling', 'Warning',
-       '0/' || r.n || ' nodes are available: node affinity / taint / capacity constraints'
-       || ' are not satisfiable'
+       'none of ' || r.n || ' ready nodes passes taints, affinity and capacity'
 FROM pending JOIN (SELECT cluster_id, count(*) AS n FROM ready GROUP BY 1) r USING (cluster_id)
 WHERE event_id NOT IN (SELECT event_id FROM placed)
 UNION ALL
 SELECT event_id, 'pod-' || event_id || '.warning', 'PVCBindingRisk', 'Warning',
-       'pod uses PVC-backed volumes (c' || event_id || CASE WHEN price >= 480000
-       THEN ', u' || event_id ELSE '' END || '). placement-scheduler binds pods directly, so '
-       || 'StorageClasses with WaitForFirstConsumer can deadlock; prefer emptyDir or an '
-       || 'immediate-binding StorageClass'
+       'claims c' || event_id || CASE WHEN price >= 480000
+       THEN ', u' || event_id ELSE '' END || ' may never bind: placement-scheduler binds the pod '
+       || 'itself, and a storage class that waits for its first consumer then waits for ever'
 FROM pending WHERE price >= 450000"""
 
 

@@ -3,7 +3,7 @@
 `query(body, *names)` puts the needed common table expressions, and what they
 need themselves, in front of a statement.
 """
-from mooring.constants import BASE_PROFILES, EXTENDED_PROFILES, FEATURES
+from mooring.constants import FEATURES
 
 
 def curve_sql(x, anchors):
@@ -18,9 +18,11 @@ def curve_sql(x, anchors):
 CPU = [(0.0, 0.0), (0.4, 2.0), (0.6, 8.0), (1.0, 20.0)]
 DENSITY = [(0.0, 0.0), (0.2, 1.0), (0.6, 3.0), (1.0, 5.0)]
 
-_PROFILES = ", ".join(
-    f"({i}, '{name}', {cpu}, {gib * 1024 ** 3})"
-    for i, (name, cpu, gib) in enumerate(BASE_PROFILES + EXTENDED_PROFILES))
+#: Hardware profiles, restated: name, milli-cores, GiB.
+_PROFILES = ", ".join(f"({i}, '{name}', {cpu}, {gib * 1024 ** 3})" for i, (name, cpu, gib) in enumerate([
+    ("small", 2000, 4), ("medium", 4000, 8), ("large", 8000, 16), ("xlarge", 16000, 32),
+    ("cpu_heavy", 32000, 16), ("mem_heavy", 8000, 128), ("gpu", 64000, 64), ("arm_small", 1200, 2),
+    ("storage_opt", 4000, 64), ("burstable", 6000, 8), ("edge", 500, 1)]))
 
 CTES = {}
 

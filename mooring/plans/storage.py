@@ -142,11 +142,11 @@ def sink_metadata(spark, sf):
 
 
 def _metrics_sql():
-    rows = [("score_requests_total", "Total scoring requests received", "counter",
+    rows = [("score_requests_total", "Scores asked for so far", "counter",
              "CAST(score_requests_total AS VARCHAR)"),
-            ("score_fallback_total", "Requests answered by heuristic fallback", "counter",
+            ("score_fallback_total", "Scores given without the service", "counter",
              "CAST(score_fallback_total AS VARCHAR)"),
-            ("score_latency_ms_avg", "Average scoring latency in milliseconds", "gauge",
+            ("score_latency_ms_avg", "Mean time of a score in milliseconds", "gauge",
              "printf('%.4f', score_latency_ms_avg)")]
     parts = []
     for name, text, kind, value in rows:
