@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mooring.constants import CPU_PENALTY_CURVE, DENSITY_PENALTY_CURVE
 from mooring.operators import evaluation, labelling, ranking, replay, student, validation
-from conftest import make_nodes, make_pods
+from builders import make_nodes, make_pods
 
 
 def curve(x, anchors):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mooring.constants import CPU_PENALTY_CURVE, DENSITY_PENALTY_CURVE, FEATURES
 from mooring.functions import features, scoring, text, units
-from conftest import make_nodes
+from builders import make_nodes
 
 GIB = 1024 ** 3
 

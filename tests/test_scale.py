@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mooring.operators import candidates as cand
 from mooring.operators import labelling, replay, validation
 from mooring.scale import attach, exact_median, is_bounded, measured_bytes, positions
-from conftest import make_nodes, make_pods
+from builders import make_nodes, make_pods
 
 
 def skewed(spark, rows=6000):

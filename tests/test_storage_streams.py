@@ -9,7 +9,7 @@ from mooring.operators import placement, replay, student
 from mooring.plans.scalars import nominated
 from mooring.sources import datasets, fleet, sinks
 from mooring.streaming import jobs, stateful
-from conftest import make_nodes, make_pods
+from builders import make_nodes, make_pods
 from test_ranking import fleet as random_fleet
 
 
