@@ -6,7 +6,7 @@ neighbours cover directions, with reverse edges. The adjacency lists of a vector
 shards. Each shard is then searched over the united graph: a greedy walk of a small beam from the
 medoid, widened to everything in range by following the edges of what is in range. Pairs are
 verified by their cosine in double precision. Recall is audited against all rows, and the shards
-overlap more if it is low.
+overlap more if it is low; if it stays low at the largest overlap, all pairs are compared in blocks.
 """
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ SAMPLE_ROWS = 50_000
 #: Shards that a vector belongs to; doubled while the audit finds less than RECALL.
 OVERLAP = 3
 MAX_OVERLAP = 24
+#: Vectors of a block where all pairs are compared, on average.
+BLOCK_ROWS = 2_000
 RECALL = 0.97
 AUDIT_QUERIES = 300
 DEGREE = 24
@@ -304,6 +306,38 @@ def audit(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD,
     return row.hits / row.n if row.n else 1.0
 
 
+def exact_pairs(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs (a, b) of nodes of a part, a < b: each two blocks of a part meet in one task."""
+    sizes = nodes.groupBy("part").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
+    met = nodes.join(F.broadcast(sizes), "part").select(
+        "node", "part", "v", mine.alias("mine"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "node", "part", "v", "mine", F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"))
+
+    def compare(table_: pa.Table) -> pa.Table:
+        ids, own = table_.column("node").to_numpy(), table_.column("mine").to_numpy()
+        x = _unit(_matrix(table_.column("v")))
+        left = np.flatnonzero(own == table_.column("low")[0].as_py())
+        right = np.flatnonzero(own == table_.column("high")[0].as_py())
+        same = table_.column("low")[0].as_py() == table_.column("high")[0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(left), 512):
+            rows = left[k:k + 512]
+            i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
+            one, two = ids[rows[i]], ids[right[j]]
+            kept = one < two if same else np.ones(len(one), bool)
+            a.append(np.minimum(one, two)[kept])
+            b.append(np.maximum(one, two)[kept])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()),
+                         "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return stored(met.groupBy("part", "low", "high").applyInArrow(
+        compare, "a bigint, b bigint"), "exact-pairs")
+
+
 # ---- operator -------------------------------------------------------------------------------
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id",
@@ -321,7 +355,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     centres = centroids(nodes, shard_rows, sample_rows)
     while True:
         pairs = find_pairs(nodes, centres, overlap, threshold)
-        if overlap >= MAX_OVERLAP or audit(nodes, pairs, threshold) >= recall:
+        if audit(nodes, pairs, threshold) >= recall:
+            break
+        if overlap >= MAX_OVERLAP:
+            # The graph still misses pairs: all are compared.
+            pairs = exact_pairs(nodes, threshold)
             break
         overlap *= 2
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
