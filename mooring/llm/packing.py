@@ -155,13 +155,24 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, columns=("doc_id",), text: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False):
-    """Pieces of docs in the public 50k vocabulary, packed; the given columns come first."""
+    """Pieces of docs in the public 50k vocabulary, packed; the given columns come first.
+
+    With ids, narrow keys are ranked, and each stored piece meets its place once, at the end.
+    """
     import public_tokenizers
-    parts = stored(pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                          public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, columns, text,
-                          capacity, end_id, with_ids), "pieces")
-    packed = pack(parts, capacity)
-    return packed.select("row.*", *packed.columns[1:])
+    found = pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                   public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, columns, text,
+                   capacity, end_id, with_ids)
+    if not with_ids:
+        packed = pack(stored(found, "pieces"), capacity)
+        return packed.select("row.*", *packed.columns[1:])
+    parts = stored(found.withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    keys = parts.select(F.col("_key").alias("row"), "piece", "length", "ids_crc32")
+    placed = pack(keys, capacity).select(F.col("row").alias("_key"), "sequence_id", "offset")
+    # The narrow side is hashed, so that ids are not sorted.
+    whole = parts.join(placed.hint("shuffle_hash"), "_key")
+    return whole.select("row.*", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+                        "ids")
 
 
 @register("op5_packing")

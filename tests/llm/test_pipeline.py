@@ -2,6 +2,7 @@
 import collections
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -130,6 +131,18 @@ def test_packing_stage_holds_every_token_once(stages):
     assert len(by_sequence) <= 11 / 9 * -(-total // 1024) + 1
 
 
+def test_packing_stage_returns_the_token_ids(stages):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs, pieces = stages[0]["personal_data"][1], stages[0]["best_fit_packing"][1]
+    got = collections.defaultdict(list)
+    for p in sorted(pieces, key=lambda p: p.start):
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        got[p.doc_id] += p.ids
+    assert got == {r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [2]
+                   for r in docs}
+
+
 def test_run_on_the_smallest_tables(spark, sf, no_docs, table_dir):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
