@@ -6,7 +6,7 @@ shared folder and gives what is read back to the next stage. All but the last re
 """
 from pyspark.sql import DataFrame, SparkSession
 
-from mooring.llm import language, near_text, packing, pii, quality_rules
+from mooring.llm import language, packing, pii, quality_rules, simhash
 from mooring.llm.common import stored, table
 
 
@@ -23,9 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    Near are texts whose fingerprints over three-word shingles differ in three bits or fewer, or that
+    a chain of such texts joins. Null and empty texts have one fingerprint and are one group; of rows
+    equal in id and text one stays; no rows give no rows.
     """
-    return near_text.keep(docs)
+    return simhash.keep(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
