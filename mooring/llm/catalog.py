@@ -5,7 +5,7 @@ QUERIES = {}
 ORACLE = {}
 
 _MODULES = ("quality_rules", "sharding", "language", "simhash", "ngram_lm", "warc", "packing",
-            "pii", "bpe", "embedding_dedup")
+            "pii", "bpe", "embedding_dedup", "resampling", "quality_classifier", "search")
 
 
 def register(name, sql=None):
