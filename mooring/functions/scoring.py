@@ -100,23 +100,33 @@ def with_teacher_score(df: DataFrame) -> DataFrame:
         *[f"_{name}_at" for name in CURVES])
 
 
-def heuristic_score() -> Column:
-    """Headroom, balance and density mix, scaled down near saturation; 0..100."""
-    c = F.col
-    cpu = clamp(c("cpu_headroom"), 0.0, 1.0)
-    memory = clamp(c("memory_headroom"), 0.0, 1.0)
-    balance = clamp(c("resource_balance"), 0.0, 1.0)
-    density = clamp(c("packing_density"), 0.0, 1.0)
+def _heuristic(cpu_percent, memory_percent, cpu_headroom, memory_headroom, balance, density):
+    cpu, memory = unit_clamp(cpu_headroom), unit_clamp(memory_headroom)
+    balance, density = unit_clamp(balance), unit_clamp(density)
 
     def overload(p):
         return F.when(p > 0.9, (p - 0.9) * 5).otherwise(0.0)
 
-    saturation = F.least(F.lit(1.0), overload(c("projected_cpu_percent"))
-                         + overload(c("projected_memory_percent")))
+    saturation = F.least(F.lit(1.0), overload(cpu_percent) + overload(memory_percent))
     base = 0.40 * cpu + 0.40 * memory + 0.10 * (1.0 - balance) + 0.10 * (1.0 - density)
     return F.rint(clamp(base * (1.0 - saturation), 0.0, 1.0) * 100).cast("long")
 
 
+def heuristic_score() -> Column:
+    """Headroom, balance and density mix, scaled down near saturation; 0..100."""
+    return _heuristic(*map(F.col, (
+        "projected_cpu_percent", "projected_memory_percent", "cpu_headroom", "memory_headroom",
+        "resource_balance", "packing_density")))
+
+
+def heuristic_of(cpu_percent: Column, memory_percent: Column, cpu_headroom: Column,
+                 memory_headroom: Column, pod_count: Column) -> Column:
+    """The heuristic score of one placement, from its projected shares."""
+    return _heuristic(cpu_percent, memory_percent, cpu_headroom, memory_headroom,
+                      F.abs(cpu_headroom - memory_headroom),
+                      (pod_count + 1) / F.lit(MAX_PODS_PER_NODE))
+
+
 def final_score(service_score: Column, penalty: Column) -> Column:
     return clamp(service_score - penalty, 0, 100).cast("long")
 

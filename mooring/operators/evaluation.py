@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mooring.constants import (
     SCORE_BANDS, VERDICT_AVG_GAP, VERDICT_AVG_RANK, VERDICT_EXACT_MATCH_PCT,
 )
-from mooring.operators.ranking import EVENT, average_ranks, cross_rank
+from mooring.operators.ranking import EVENT, average_ranks
 from mooring.scale import exact_median, with_scalar
 
 
@@ -118,14 +118,12 @@ def mean_defined(per_event: DataFrame, value: str, name: str) -> DataFrame:
     )
 
 
-def scenario_report(pods: DataFrame, scored: DataFrame, threshold) -> DataFrame:
+def scenario_report(picks: DataFrame) -> DataFrame:
     """Agreement per scenario and in total ("OVERALL").
 
-    pods: event_id, scenario; scored: feasible candidates with teacher_score
-    and pred. Pods without candidate count as unschedulable.
+    picks: one row per pod, of `stress.duel`: scenario, step, model_node_id (null: unschedulable),
+    teacher_node_id, model_rank, score_gap, capacity_violation. A test begins with step 0.
     """
-    picks = cross_rank(scored, threshold)
-    rows = pods.select(EVENT, "scenario").join(picks, EVENT, "left")
     placed = F.col("model_node_id").isNotNull()
     exact = F.col("model_node_id") == F.col("teacher_node_id")
 
@@ -133,7 +131,8 @@ def scenario_report(pods: DataFrame, scored: DataFrame, threshold) -> DataFrame:
         return F.sum(F.when(condition, 1).otherwise(0))
 
     placements = count_if(placed)
-    return rows.rollup("scenario").agg(
+    return picks.rollup("scenario").agg(
+        count_if(F.col("step") == 0).alias("tests"),
         F.count(F.lit(1)).alias("total_pods"),
         placements.alias("successful_placements"),
         count_if(~placed).alias("unschedulable"),

@@ -180,7 +180,7 @@ def label_dataset_query(spark, sf):
 
 # Replay: the sequential placement as a recursive query over whole clusters.
 
-def _teacher_sql(cpu, mem, pods):
+def teacher_sql(cpu, mem, pods):
     return (f"greatest(0e0, least(100e0, round_even((0.6e0 * greatest(0e0, 1e0 - {cpu})"
             f" + 0.4e0 * greatest(0e0, 1e0 - {mem})) * 100, 0) - ({curve_sql(cpu, CPU)})"
             f" - ({curve_sql(mem, CPU)})"
@@ -193,7 +193,7 @@ SELECT *, (place - 1) // 20 AS episode, (place - 1) % 20 AS step FROM (
     PARTITION BY cluster_id ORDER BY arrival_ts, event_id) AS place FROM pod)""", "pod")
 
 
-CHOICE = _teacher_sql("CAST(n.uc + req_cpu AS DOUBLE) / n.ac", "CAST(n.um + req_mem AS DOUBLE) / n.am",
+CHOICE = teacher_sql("CAST(n.uc + req_cpu AS DOUBLE) / n.ac", "CAST(n.um + req_mem AS DOUBLE) / n.am",
                       "n.p")
 cte("node_list", """
 SELECT cluster_id, list({'id': node_id, 'ac': alloc_cpu, 'am': alloc_mem, 'uc': used_cpu,

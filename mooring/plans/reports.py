@@ -2,17 +2,15 @@
 from pyspark.sql import functions as F
 
 from mooring.constants import (
-    ANALYSIS_FEATURES, DOMINANCE_FEATURES, FEATURES, MIN_ACCEPTABLE_SCORE_STRESS, SCORE_BANDS,
+    ANALYSIS_FEATURES, DOMINANCE_FEATURES, FEATURES, SCORE_BANDS,
 )
 from mooring.functions import scoring
 from mooring.operators import candidates as cand
 from mooring.operators import decisions, evaluation, validation
 from mooring.operators.labelling import label_dataset
-from mooring.operators.placement import pending_pods
 from mooring.plans.matching import count_if, count_sql, scored_pairs, sum_sql
 from mooring.plans.oracle_base import FEATURE_SQL, query
 from mooring.plans.registry import register
-from mooring.scale import attach
 from mooring.sources import fleet
 
 # Column expressions of the labelled rows in the comparison SQL.
@@ -303,61 +301,6 @@ def mean_kendall(spark, sf):
     return rounded(evaluation.mean_defined(per_event, "kendall", "mean_kendall"), "mean_kendall")
 
 
-REPORT_SQL = f"""
-SELECT coalesce(scenario, 'OVERALL') AS scenario, count(*) AS total_pods,
-       count(model_node) AS successful_placements,
-       count(*) - count(model_node) AS unschedulable, CAST(0 AS BIGINT) AS capacity_violations,
-       round_even(100e0 * count(model_node) / count(*), 6) AS success_pct,
-       round_even(100e0 * sum(CAST(model_node = teacher_node AS INT)) / count(model_node), 6)
-       AS exact_match_pct, round_even(avg(model_rank), 6) AS avg_rank,
-       round_even(avg(gap), 6) AS avg_gap, round_even(max(gap), 6) AS max_gap,
-       {count_sql("model_node <> teacher_node", "non_optimal_picks")},
-       {count_sql("model_rank > 1", "rank_above_one")}
-FROM pod LEFT JOIN (
-  SELECT event_id, arg_min(node_id, place) AS model_node, arg_min(rank_, place) AS model_rank,
-         max(best_id) AS teacher_node, max(t_score) - arg_min(t_score, place) AS gap
-  FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY heur < 5, heur DESC, node_id)
-        AS place FROM fit) GROUP BY 1) m USING (event_id)
-GROUP BY ROLLUP (scenario)"""
-
-
-def report(spark, sf):
-    full = evaluation.scenario_report(
-        fleet.pods(spark, sf), scored_pairs(spark, sf), MIN_ACCEPTABLE_SCORE_STRESS)
-    return rounded(full, "success_pct", "exact_match_pct", "avg_rank", "avg_gap", "max_gap")
-
-
-@register("scenario_report", query(REPORT_SQL, "pod", "fit"))
-def scenario_report(spark, sf):
-    return report(spark, sf)
-
-
-@register("scenario_verdict", query(f"""
-SELECT scenario, CASE WHEN capacity_violations > 0 THEN 'FAIL'
-       WHEN successful_placements = 0 OR (exact_match_pct >= 85 AND avg_rank <= 1.25
-       AND avg_gap <= 5) THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM ({REPORT_SQL})""",
-                                   "pod", "fit"))
-def scenario_verdict(spark, sf):
-    return evaluation.verdict(report(spark, sf)).select("scenario", "verdict")
-
-
-@register("capacity_violations", query("""
-SELECT count(*) AS picks, CAST(sum(CASE WHEN used_cpu + all_cpu > alloc_cpu
-       OR used_mem + all_mem > alloc_mem THEN 1 ELSE 0 END) AS BIGINT) AS violations
-FROM placed JOIN online ON online.event_id = placed.event_id AND node_id = best_id""",
-                                      "placed", "online"))
-def capacity_violations(spark, sf):
-    """Picks of the online path, which tests total capacity, that lack free capacity."""
-    from mooring.operators.placement import place
-    from mooring.operators.predicates import fits_free
-    waiting, nodes = pending_pods(fleet.pods(spark, sf)), fleet.nodes(spark, sf)
-    picks = place(waiting, nodes).select("event_id", F.col("best_node_id").alias("node_id"))
-    checked = attach(picks.join(waiting, "event_id").drop("cluster_id"), nodes, "node_id",
-                     spread_by=["event_id"])
-    return checked.select(fits_free()["feasible"].alias("fits")).agg(
-        F.count(F.lit(1)).alias("picks"), count_if(~F.col("fits"), "violations"))
-
-
 COUNTERS_SQL = f"""
 SELECT count(*) AS score_requests_total,
        {count_sql("event_type = 'error'", "score_fallback_total")},

@@ -182,14 +182,21 @@ def test_cross_rank_and_verdict(spark):
     rows = {r.event_id: r for r in ranking.cross_rank(df, threshold=5).collect()}
     assert (rows[1].model_node_id, rows[1].model_rank, rows[1].score_gap) == (2, 2, 10.0)
     assert rows[3].model_node_id == 1
-    pods = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")],
-                                 "event_id long, scenario string")
-    report = evaluation.verdict(evaluation.scenario_report(pods, df, 5))
-    found = {r.scenario: r for r in report.collect()}
+
+
+def test_report_and_verdict(spark):
+    picks = spark.createDataFrame(
+        [("a", 0, 2, 1, 2, 10.0, False), ("a", 1, 1, 1, 1, 0.0, False), ("b", 0, 1, 1, 1, 0.0, False),
+         ("c", 0, None, None, None, None, None), ("d", 0, 1, 1, 1, 0.0, True)],
+        "scenario string, step int, model_node_id long, teacher_node_id long, model_rank int,"
+        "score_gap double, capacity_violation boolean")
+    found = {r.scenario: r for r in evaluation.verdict(evaluation.scenario_report(picks)).collect()}
     assert found["a"].exact_match_pct == 50.0 and found["a"].verdict == "REVIEW"
-    assert found["b"].verdict == "PASS"
+    assert found["a"].tests == 1 and found["OVERALL"].tests == 4
+    assert found["b"].verdict == "PASS" and found["d"].verdict == "FAIL"
     assert found["c"].verdict == "PASS" and found["c"].exact_match_pct is None
-    assert found["OVERALL"].total_pods == 4 and found["OVERALL"].unschedulable == 1
+    assert found["OVERALL"].total_pods == 5 and found["OVERALL"].unschedulable == 1
+    assert found["OVERALL"].verdict == "FAIL" and found["OVERALL"].capacity_violations == 1
 
 
 def test_regression_metrics(spark):
