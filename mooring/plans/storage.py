@@ -1,10 +1,11 @@
 """Queries over dataset sources and sinks."""
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from mooring.constants import FEATURES, GROUP, TARGET
-from mooring.functions.scoring import heuristic_score
 from mooring.operators import candidates as cand
-from mooring.operators import decisions, evaluation, validation
+from mooring.operators import decisions, student, validation
 from mooring.plans.matching import count_sql
 from mooring.plans.oracle_base import query
 from mooring.plans.registry import register
@@ -123,22 +124,38 @@ def sink_outputs(spark, sf):
         summary("parquet", spark.read.parquet(base + ".parquet")))
 
 
+METRICS = ["mae", "rmse", "r2", "median_absolute_error", "mape", "explained_variance",
+           "winner_accuracy", "top3_accuracy", "best_iteration"]
+
+
 @register("sink_metadata", query(f"""
 SELECT 18 AS features, count(*) AS row_count, count(DISTINCT event_id) AS events,
-       {count_sql("feasible", "feasible_rows")},
-       round_even(avg(abs(t_score - heur)) FILTER (feasible), 6) AS mae, 0.15e0 AS test_size
+       {count_sql("feasible", "feasible_rows")}, {count_sql("NOT feasible", "infeasible_rows")},
+       8 AS max_depth, 256 AS max_bin, 0.2e0 AS gamma, 0.15e0 AS test_size, 9 AS metrics
 FROM labelled""", "labelled"))
 def sink_metadata(spark, sf):
+    """The record of the student's run as read back; `training_run` has the metrics themselves."""
+    return training_run(spark, sf).select(
+        "features", "row_count", "events", "feasible_rows", "infeasible_rows", "max_depth", "max_bin",
+        "gamma", "test_size",
+        sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in METRICS).alias("metrics"))
+
+
+@register("training_run")
+def training_run(spark, sf):
+    """Sizes, parameters and held-out metrics of the student's run, written as JSON and read back."""
+    from mooring.plans.ranks import FIT, trained
     rows = labelled(spark, sf)
-    scored = rows.where("feasible").withColumn("pred", heuristic_score())
     run = sinks.metadata(
-        validation.dataset_size(rows), evaluation.regression_metrics(scored), FEATURES,
-        {"test_size": 0.15, "seed": 42}, sf)
+        validation.dataset_size(rows),
+        student.metrics(spark, trained(spark, sf), student.training_rows(rows)), FEATURES,
+        {**asdict(FIT), "test_size": student.HELD_OUT}, sf)
     path = sinks.write_metadata(run, scratch_path(spark, "metadata"))
     return sinks.read_json(spark, path).select(
-        F.size("feature_columns").alias("features"), "dataset_size.row_count",
-        "dataset_size.events", "dataset_size.feasible_rows",
-        F.bround("metrics.mae", 6).alias("mae"), "training_parameters.test_size")
+        F.size("feature_columns").alias("features"), "dataset_size.*",
+        *[F.col(f"training_parameters.{c}").cast(kind) for c, kind in (
+            ("max_depth", "int"), ("max_bin", "int"), ("gamma", "double"), ("test_size", "double"))],
+        *METRICS)
 
 
 def _metrics_sql():
