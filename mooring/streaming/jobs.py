@@ -1,15 +1,14 @@
 """Structured Streaming versions of the snapshot, placement and report jobs.
 
 Every job takes a streaming frame and an output folder, runs what is available
-and leaves a table. Writers inside foreachBatch use one folder per batch id, so
-a batch repeated after a failure replaces its own output.
+and leaves a table. Its checkpoint is kept beside that folder: the next run over the same
+folder goes on where the last one ended. Writers inside foreachBatch use one folder per
+batch id, so a batch repeated after a failure replaces its own output.
 """
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooring.operators import decisions, placement
-from mooring.operators.labelling import label_dataset
-from mooring.session import scratch_path
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=64) -> DataFrame:
@@ -22,22 +21,31 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger=6
 
 def split_table(spark: SparkSession, sf_dir: str, name: str, order: str, path: str, files=8,
                 newest_first=True) -> str:
-    """A table as files by ranges of a column, one written after the other. Returns a folder.
+    """A table as ranges of a column, one written after the other. Returns a folder.
 
     For trying a job: rows come in many micro-batches, and against their order in time or with it.
+    One distributed write deals the rows out to a folder per range; each range is then appended from
+    its own folder alone, by as many tasks as it has files.
     """
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     second = F.unix_micros(F.col(order).cast("timestamp"))
     cuts = table.select(second.cast("double").alias("s")).approxQuantile(
         "s", [i / files for i in range(1, files)], 0.01)
     part = sum((F.when(second > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    ranges = f"{path}/{name}-ranges"
+    table.withColumn("_range", part).write.partitionBy("_range").parquet(ranges)
+    dealt = spark.read.schema(f"{_ddl(table)}, _range INT").parquet(ranges)
     for i in range(files):
         wanted = files - 1 - i if newest_first else i
-        table.where(part == wanted).coalesce(1).write.mode("append").parquet(
+        dealt.where(F.col("_range") == wanted).drop("_range").write.mode("append").parquet(
             f"{path}/{name}.parquet")
     return path
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def folder_stream(spark: SparkSession, path: str, files_per_trigger=1) -> DataFrame:
     """A Parquet folder as a stream of micro-batches of files."""
     schema = spark.read.parquet(path).schema
@@ -45,15 +53,31 @@ def folder_stream(spark: SparkSession, path: str, files_per_trigger=1) -> DataFr
         "maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _drain(writer, spark: SparkSession) -> None:
-    query = writer.option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(
+def checkpoint_of(path: str) -> str:
+    """Where the progress of the job that writes to path is kept."""
+    return f"{path.rstrip('/')}.checkpoint"
+
+
+def _drain(writer, spark: SparkSession, path: str) -> None:
+    query = writer.option("checkpointLocation", checkpoint_of(path)).trigger(
         availableNow=True).start()
     query.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, path: str, mode="append") -> DataFrame:
+_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, path: str, mode="append", rocksdb=False) -> DataFrame:
+    """The stream as a table of files; with rocksdb its state is kept on disk, not in memory."""
     spark = stream.sparkSession
-    _drain(stream.writeStream.format("parquet").outputMode(mode).option("path", path), spark)
+    before = spark.conf.get(_STORE_KEY)
+    if rocksdb:
+        spark.conf.set(_STORE_KEY, _ROCKSDB)
+    try:
+        _drain(stream.writeStream.format("parquet").outputMode(mode).option("path", path), spark, path)
+    finally:
+        spark.conf.set(_STORE_KEY, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -64,7 +88,7 @@ def run_batches(stream: DataFrame, path: str, transform, mode="append") -> DataF
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    _drain(stream.writeStream.outputMode(mode).foreachBatch(write), spark)
+    _drain(stream.writeStream.outputMode(mode).foreachBatch(write), spark, path)
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
@@ -76,7 +100,6 @@ def snapshot(samples: DataFrame, path: str) -> DataFrame:
     poll, whatever the number of batches.
     """
     spark = samples.sparkSession
-    last = [None]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch
@@ -87,39 +110,31 @@ def snapshot(samples: DataFrame, path: str) -> DataFrame:
         polls = kept.groupBy("poll_ts", "node_id").agg(newest).select("row.*")
         polls.where(F.col("poll_ts") == kept.select(F.max("poll_ts")).scalar()).write.mode(
             "overwrite").parquet(f"{path}/batch={batch_id}")
-        last[0] = batch_id
 
-    _drain(samples.writeStream.foreachBatch(write), spark)
-    current = spark.read.schema(samples.schema).parquet(f"{path}/batch={last[0]}")
+    _drain(samples.writeStream.foreachBatch(write), spark, path)
+    stored = spark.read.schema(f"{_ddl(samples)}, batch LONG").option("basePath", path).parquet(
+        f"{path}/batch=*")
+    # Folders are pruned by the newest batch, which no query but the names of the folders tells.
+    current = stored.where(F.col("batch") == last_batch(spark, path))
     return current.select("poll_ts", "node_id", F.col("cpu_sample").alias("current_cpu_usage"),
                           F.col("mem_sample").alias("current_memory_usage"))
 
 
-def _first_seen(batch: DataFrame, path: str, batch_id: int, key: str) -> DataFrame:
-    """Rows of the batch whose key no earlier batch has written, each key once.
-
-    The table written so far is what is remembered: no event time, no watermark, so no row is ever
-    late, and no state in memory. Only its key column is read.
-    """
-    fresh = batch.dropDuplicates([key])
-    if batch_id == 0:
-        return fresh
-    spark = batch.sparkSession
-    done = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch long").option(
-        "basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") < batch_id)
-    return fresh.join(done.select(key), key, "left_anti")
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The newest batch that has left a folder below path, by the folders' names; -1 if none has."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1)
 
 
 def _once_per_key(stream: DataFrame, path: str, key: str) -> DataFrame:
-    """Table of the first row of every key, over any number of batches in any order."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _first_seen(batch, path, batch_id, key).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
+    """Table of one row of every key, over any number of batches in any order.
 
-    _drain(stream.writeStream.foreachBatch(write), spark)
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
+    Spark keeps one entry per key in its state store on disk, without event time: no row is ever
+    late, no batch reads what earlier ones have written, and a restart goes on with the same keys.
+    """
+    return run_to_table(stream.dropDuplicates([key]), path, rocksdb=True)
 
 
 def pending(pods: DataFrame, path: str) -> DataFrame:
@@ -164,28 +179,3 @@ def counters(log: DataFrame, path: str) -> DataFrame:
 def new_pods(pods: DataFrame, path: str) -> DataFrame:
     """First sighting of every pod id."""
     return _once_per_key(pods.select("pod_id"), path, "pod_id")
-
-
-def _partials():
-    score = F.when(F.col("feasible"), F.col("teacher_score"))
-    feasible = F.when(F.col("feasible"), 1).otherwise(0)
-    selected = F.col("selected_by_scheduler")
-    return [
-        F.count(F.lit(1)).alias("row_count"), F.sum(selected).alias("events"),
-        F.sum(feasible).alias("feasible_rows"), F.sum(score).alias("s"),
-        F.sum(score * score).alias("q"), F.min(score).alias("lo"), F.max(score).alias("hi"),
-        F.sum(F.when((selected == 1) & (F.col("score_gap_from_best") != 0), 1).otherwise(0))
-        .alias("winner_gap_nonzero"),
-    ]
-
-
-def validate(pods: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
-    """Validation of labelled rows as they arrive, from mergeable partial sums."""
-    parts = run_batches(pods, path, lambda batch: label_dataset(batch, nodes).agg(*_partials()))
-    n, mean = F.sum("feasible_rows"), F.sum("s") / F.sum("feasible_rows")
-    return parts.agg(
-        F.sum("row_count").alias("total_rows"), F.sum("events").alias("events"),
-        n.alias("feasible_rows"), F.min("lo").alias("min_score"), mean.alias("mean_score"),
-        F.max("hi").alias("max_score"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / n - mean * mean)).alias("std_score"),
-        F.sum("winner_gap_nonzero").alias("winner_gap_nonzero"))
