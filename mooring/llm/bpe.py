@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import table, text_workers
+from mooring.llm.common import row_schema, table, text_workers
 
 #: Pieces of up to so many bytes are merged side by side.
 SHORT = 64
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns=("doc_id",),
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
 
     return inner.mapInArrow(
-        run, f"row {inner.schema['row'].dataType.simpleString()}, ids array<int>").select(
+        run, row_schema(inner, "ids array<int>")).select(
         "row.*", "ids")
 
 
@@ -262,7 +262,7 @@ def decode(coded: DataFrame, path: str, pattern: str, columns=("doc_id",),
                 [batch.column(0), pa.array(data, pa.binary())], names=["row", "data"])
 
     return inner.mapInArrow(
-        run, f"row {inner.schema['row'].dataType.simpleString()}, data binary").select(
+        run, row_schema(inner, "data binary")).select(
         "row.*", "data")
 
 
@@ -289,8 +289,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, columns=("doc_id",),
                  pa.array(decoded, pa.string())],
                 names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, "
-                            "n_tokens bigint, ids_sha256 string, decoded_sha256 string").select(
+    return inner.mapInArrow(run, row_schema(
+        inner, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")).select(
         "row.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -1,6 +1,7 @@
 """Small helpers shared by the training-data operators."""
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mooring.session import scratch_path, ship_package
 
@@ -37,6 +38,14 @@ def fresh(columns, base: str) -> str:
     return name
 
 
+def row_schema(inner: DataFrame, ddl: str) -> T.StructType:
+    """The schema of a worker's output: the struct `row` of inner as it is, then columns as in ddl.
+
+    Column names never pass through text, so that any name may stand in the row.
+    """
+    return T.StructType([inner.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
 def text_workers(spark: SparkSession) -> None:
     """Prepares the session for Python workers over whole texts: this package, and batches of few
     rows, as the default of 10,000 texts is tens of megabytes, held several times over."""

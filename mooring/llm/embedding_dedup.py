@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mooring.llm.catalog import register
 from mooring.llm.common import stored, table
@@ -257,8 +258,9 @@ def _searcher(threshold: float):
 def find_pairs(nodes: DataFrame, centres: dict, overlap: int,
                threshold: float = THRESHOLD) -> DataFrame:
     """Distinct verified pairs (a, b) of nodes, a < b."""
-    dealt = stored(nodes.select("node", "part", "v").mapInArrow(
-        _dealer(centres, overlap), "node bigint, part string, v array<float>, shard int"), "shards")
+    narrow = nodes.select("node", "part", "v")
+    dealt = stored(narrow.mapInArrow(_dealer(centres, overlap), T.StructType(
+        [*narrow.schema.fields, T.StructField("shard", T.IntegerType())])), "shards")
     lists = dealt.groupBy("part", "shard").applyInArrow(
         _builder, "node bigint, near array<bigint>")
     united = stored(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import crc_remainder, table, text_workers
+from mooring.llm.common import crc_remainder, row_schema, table, text_workers
 
 #: Letters of reference text per language: the bound of the sample that is fitted.
 REFERENCE_CHARS = 60_000
@@ -228,10 +228,9 @@ def _predicted(docs: DataFrame, texts: dict, text: str) -> DataFrame:
     """(row struct, pred, score, phrase_letters, letters)."""
     text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = inner.schema["row"].dataType.simpleString()
     return inner.mapInArrow(
         _predictor(tuple(sorted(texts.items())), docs.columns.index(text)),
-        f"row {kind}, pred string, score double, phrase_letters double, letters bigint")
+        row_schema(inner, "pred string, score double, phrase_letters double, letters bigint"))
 
 
 def identify(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
@@ -253,7 +252,12 @@ def learn(docs: DataFrame) -> dict:
 
 
 def keep(docs: DataFrame, texts: dict, text: str = "text") -> DataFrame:
-    """Documents in some learned language: others are `und` or fall apart into tiny phrases."""
+    """Documents in some learned language: others are `und` or fall apart into tiny phrases.
+
+    Null and empty texts and texts without a letter go; texts of few letters stay, as their phrases
+    tell little. Repeated rows are judged one by one. All columns pass through, whatever their
+    names. No documents give no rows.
+    """
     return _predicted(docs, texts, text).where(
         (F.col("pred") != UNDETERMINED) & (
             (F.col("letters") < MIN_LETTERS) | (F.col("phrase_letters") >= MIN_PHRASE))).select("row.*")

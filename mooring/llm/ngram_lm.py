@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import crc_remainder, stored, table, text_workers
+from mooring.llm.common import crc_remainder, row_schema, stored, table, text_workers
 from mooring.session import scratch_path
 
 #: Distinct n-grams that one task merges, on average.
@@ -457,9 +457,8 @@ def score(docs: DataFrame, model: dict, columns=("doc_id",), text: str = "text")
     text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                         F.col(f"`{text}`").alias("text"))
-    kind = inner.schema["row"].dataType.simpleString()
-    return inner.mapInArrow(_scorer(model), f"row {kind}, n_tokens bigint, n_known bigint, "
-                            "base_score double, score double").select(
+    return inner.mapInArrow(_scorer(model), row_schema(
+        inner, "n_tokens bigint, n_known bigint, base_score double, score double")).select(
         "row.*", "n_tokens", "n_known", "base_score", "score")
 
 

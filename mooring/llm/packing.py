@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import stored, table, text_workers
+from mooring.llm.common import row_schema, stored, table, text_workers
 from mooring.scale import positions
 
 CAPACITY = 1024
@@ -84,11 +84,10 @@ def pieces(docs: DataFrame, rank_path: str, pattern: str, special: dict, columns
     text_workers(docs.sparkSession)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                         F.col(f"`{text}`").alias("text"))
-    kind = inner.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return inner.mapInArrow(
         _splitter(rank_path, pattern, tuple(special.items()), capacity, end_id, with_ids),
-        schema + (", ids array<int>" if with_ids else ""))
+        row_schema(inner, "piece int, start bigint, length bigint, ids_crc32 bigint"
+                   + (", ids array<int>" if with_ids else "")))
 
 
 # ---- plan -----------------------------------------------------------------------------------
@@ -157,7 +156,9 @@ def pack_documents(docs: DataFrame, columns=("doc_id",), text: str = "text",
                    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False):
     """Pieces of docs in the public 50k vocabulary, packed; the given columns come first.
 
-    With ids, narrow keys are ranked, and each stored piece meets its place once, at the end.
+    With ids, narrow keys are ranked, and each stored piece meets its place once, at the end. A null
+    text counts as empty: one piece, the end id. Repeated rows have pieces of their own, pieces of
+    equal length any order. No documents give no rows.
     """
     import public_tokenizers
     found = pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),

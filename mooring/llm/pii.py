@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.catalog import register
-from mooring.llm.common import table, text_workers
+from mooring.llm.common import row_schema, table, text_workers
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -448,7 +448,11 @@ def learn(docs: DataFrame, text: str = "text", limit: int = SAMPLE_WINDOWS) -> d
 
 
 def redact(docs: DataFrame, p: dict, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """docs with personal data in `text` replaced by its kind, and `size`, if there, counted anew."""
+    """docs with personal data in `text` replaced by its kind, and `size`, if there, counted anew.
+
+    Null texts stay null, with a null size; empty ones stay empty. Repeated rows stay repeated. All
+    other columns pass through, whatever their names. No documents give no rows.
+    """
     found = detect(docs, p, docs.columns, text, with_text=True)
     new = {text: F.col("redacted"), size: F.length("redacted").cast("long")}
     return found.select(*[(new[c] if c == text or c == size and docs.schema[c].dataType.typeName()
@@ -473,15 +477,16 @@ def redacted(text: str, spans: list) -> str:
 def detect(docs: DataFrame, p: dict, columns=("doc_id",), text: str = "text",
            with_text: bool = False) -> DataFrame:
     """The given columns with rule spans, all spans (strings), counts of rule spans, and the
-    redacted text if wanted. A null text has no spans and stays null."""
+    redacted text if wanted. A null text has no spans and stays null. Repeated rows stay repeated;
+    of overlapping tagged spans those that score most in all stay."""
     text_workers(docs.sparkSession)
     # A text that is wanted anyway isn't sent twice.
     own = text in columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                         *([] if own else [F.col(f"`{text}`").alias("t")]))
     at = list(columns).index(text) if own else None
-    schema = (f"row {inner.schema['row'].dataType.simpleString()}, rules string, spans string, "
-              + ", ".join(f"n_{k} bigint" for k in KINDS) + ", redacted string")
+    schema = row_schema(inner, "rules string, spans string, " + ", ".join(
+        f"n_{k} bigint" for k in KINDS) + ", redacted string")
 
     def run(batches):
         for batch in batches:

@@ -166,7 +166,8 @@ def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
     """
     kept_columns = [c for c in docs.columns if c.lower() != "quality"]
     prepared = figures(docs.select(
-        F.struct(*kept_columns).alias("_row"), F.col(text).alias("_text")), "_text")
+        F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("_row"),
+        F.col(f"`{text}`").alias("_text")), "_text")
 
     def figure(name):
         return F.col(f"figures.{name}")
@@ -182,9 +183,12 @@ def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    judged = judge(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias(text)), text,
-                   rules)
+    """The documents that pass, with their own columns, whatever their names.
+
+    Null and empty texts go. Repeated rows are judged one by one; no documents give no rows.
+    """
+    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                               F.col(f"`{text}`").alias("_own")), "_own", rules)
     return judged.where("quality.kept").select("row.*")
 
 

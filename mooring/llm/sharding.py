@@ -1,8 +1,10 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters whole records into buckets by a seeded hash, uniformly, so that a bucket fits a
-task's memory whatever the sources or copies in the data. Pass two shuffles each bucket as an
-array (Spark's `shuffle` is a Fisher-Yates shuffle) and writes it. The buckets one after the
+task's memory whatever the sources or copies in the data: the hash is over a row and its place in the
+input, so that equal rows spread. Pass two puts each bucket in the order of the input, shuffles it as
+an array (Spark's `shuffle` is a Fisher-Yates shuffle) and writes it: a seed gives one result, in a
+repeated task too. The buckets one after the
 other are one global random order; shard s of n takes its rows from s/n to (s+1)/n, so counts of
 shards differ by one at most, and a shard's slots have no gaps.
 """
@@ -25,11 +27,13 @@ def record_size(text: str = "text"):
 
 
 def _scattered(df: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """Adds _bucket. The hash is over all columns, so that one hot id or text doesn't matter."""
-    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain])
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-                     F.pmod(key, F.lit(buckets)).cast("int").alias("_bucket"))
+    """(_row, _id, _bucket). The hash is over all columns and the row's place in its partition, so
+    that neither a hot id or text nor equal rows matter."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                     F.monotonically_increasing_id().alias("_id"))
+    key = F.xxhash64(F.lit(seed), "_id", *[F.col("_row")[c] for c in plain])
+    return rows.withColumn("_bucket", F.pmod(key, F.lit(buckets)).cast("int"))
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str = "text",
@@ -53,16 +57,19 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str = "te
 
     parts = min(buckets, 20_000)
     arrays = scattered.repartition(parts, "_bucket").groupBy("_bucket").agg(
-        F.collect_list("_row").alias("_rows"))
-    shuffled = arrays.join(F.broadcast(offsets), "_bucket").select(
-        "_before", "_total", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_at", "row"))
+        F.array_sort(F.collect_list(F.struct("_id", "_row")), lambda a, b: F.when(
+            a["_id"] < b["_id"], -1).otherwise(1)).alias("_rows"))
+    # In the order of buckets, as a task's random numbers go on from one bucket to the next.
+    ordered = arrays.join(offsets, "_bucket").sortWithinPartitions("_bucket")
+    shuffled = ordered.select(
+        "_before", "_total", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_at", "_own"))
     place = F.col("_before") + F.col("_at")
     # The shard of place p is the last s with floor(s * total / n) <= p.
     number = F.expr(f"((_before + _at + 1) * {shards} - 1) div _total")
     start = F.expr(f"(shard * _total) div {shards}")
     path = scratch_path(spark, "shards")
     shuffled.withColumn("_place", place).withColumn("shard", number.cast("int")).select(
-        "row", (F.col("_place") - start).alias("slot"), "shard").write.partitionBy(
+        F.col("_own._row").alias("row"), (F.col("_place") - start).alias("slot"), "shard").write.partitionBy(
         "shard").parquet(path)
     return path
 
