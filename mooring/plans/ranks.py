@@ -147,7 +147,7 @@ DIGEST_LONG = ["node_memory_capacity", "node_allocatable_memory", "current_memor
 
 
 def _digest_sql(source):
-    rows = ROW_SQL.replace("nominated_l", source).replace(
+    rows = ROW_SQL.replace("FROM labelled", f"FROM {source}").replace(
         "AS event_id,", "AS event_label, event_id AS event_id,", 1)
     parts = [f"round_even(CAST(sum({c}) AS DOUBLE), 6) AS {c}" for c in DIGEST]
     parts += [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in DIGEST_LONG]

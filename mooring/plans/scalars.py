@@ -1,13 +1,11 @@
 """Queries over scalar expressions: quantities, features, scores, text."""
 from pyspark.sql import functions as F
 
-from mooring.constants import CLUSTER_SIZE_TIERS, FEATURES, SCENARIO_WEIGHTS
+from mooring.constants import CANDIDATE_ROW, CLUSTER_SIZE_TIERS, FEATURES, SCENARIO_WEIGHTS
 from mooring.functions import features, scoring, text, units
 from mooring.operators import placement
 from mooring.operators.candidates import with_default_snapshot
-from mooring.operators.labelling import (
-    candidate_row, label_pairs, with_node_labels, with_pod_labels,
-)
+from mooring.operators.labelling import candidate_row
 from mooring.plans.oracle_base import FEATURE_SQL, query
 from mooring.plans.registry import register
 from mooring.sources import fleet
@@ -162,31 +160,6 @@ def features18(spark, sf):
         FEATURES, features.feature_vector_columns(rows))])
 
 
-NOMINATED = """
-SELECT p.event_id, p.scenario, p.arrival_ts, p.req_cpu, p.req_mem, n.*
-FROM (SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS node_id FROM lineitem) l
-JOIN pod p USING (event_id) JOIN node n ON n.node_id = l.node_id"""
-
-
-def _register_nominated():
-    from mooring.plans import oracle_base as base
-    base.cte("nominated", NOMINATED, "pod", "node")
-    base.cte("nominated_d", base.derived("nominated"), "nominated")
-    base.cte("nominated_t", base.teacher("nominated_d"), "nominated_d")
-    base.cte("nominated_l", base.labels("nominated_t"), "nominated_t")
-    # What the narrow comparisons read of the labelled pairs.
-    base.cte("nominated_fit", "SELECT * FROM nominated_l WHERE feasible", "nominated_l")
-
-
-_register_nominated()
-
-
-def nominated(spark, sf):
-    """Labelled pairs of pods and the nodes their line items name."""
-    named = fleet.nominated_pairs(spark, sf)
-    return label_pairs(with_node_labels(with_pod_labels(named)))
-
-
 ROW_SQL = """
 SELECT printf('e%08d', event_id) AS event_id, printf('c%06d', cluster_id) AS cluster_id,
        printf('pod-%08d', event_id) AS pod_id,
@@ -223,7 +196,7 @@ SELECT printf('e%08d', event_id) AS event_id, printf('c%06d', cluster_id) AS clu
        CASE WHEN rank_ = 1 THEN 1 ELSE 0 END AS selected_by_scheduler,
        CAST(rank_ AS INTEGER) AS teacher_rank,
        CAST(printf('%.6f', win - t_score) AS DOUBLE) AS score_gap_from_best
-FROM nominated_l"""
+FROM labelled"""
 
 
 SCORES = ["cpu_penalty", "memory_penalty", "density_penalty", "winner_score", "teacher_score",
@@ -236,9 +209,32 @@ def comparable_row(labelled):
         {c: units.round_exact(F.col(c), 6) for c in SCORES})
 
 
-@register("candidate_row", query(ROW_SQL, "nominated_l"))
+#: Columns of the stored row that are fractions: six digits, compared as millionths.
+FRACTIONS = [c for c in CANDIDATE_ROW if c.endswith((
+    "_percent", "_headroom", "_fragmentation", "_waste", "_ratio", "_balance", "_density", "_penalty",
+    "_score", "_from_best"))]
+
+
+def _row_digest_sql():
+    cells = ", ".join(
+        f"CAST(CAST(round_even({c} * 1e6, 0) AS BIGINT) AS VARCHAR)" if c in FRACTIONS
+        else f"coalesce(CAST({c} AS VARCHAR), '')" for c in CANDIDATE_ROW)
+    return f"""
+SELECT event_id, count(*) AS nodes, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {cells})), 1, 12)
+       AS BIGINT)) AS BIGINT) AS digest FROM ({ROW_SQL}) GROUP BY 1"""
+
+
+@register("candidate_row", query(_row_digest_sql(), "labelled"))
 def candidate_rows(spark, sf):
-    return comparable_row(nominated(spark, sf))
+    """Every labelled pair with all stored columns: an event's rows, by a digest of each whole row."""
+    # The millionths of a rounded fraction are its own digits.
+    from mooring.plans.reports import labelled
+    rows = comparable_row(labelled(spark, sf))
+    cells = [F.rint(F.col(c) * 1e6).cast("long").cast("string") if c in FRACTIONS
+             else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CANDIDATE_ROW]
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *cells).cast("binary")), 1, 12), 16, 10)
+    return rows.select("event_id", digest.cast("long").alias("d")).groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("d").alias("digest"))
 
 
 def scored_requests(spark, sf):

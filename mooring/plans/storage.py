@@ -21,7 +21,7 @@ SELECT event_id, count(*) AS nodes, min(node_id) AS first_node, max(node_id) AS
        CAST(sum(teacher_rank) AS BIGINT) AS ranks,
        CAST(sum(length(reject_reason)) AS BIGINT) AS reject_letters,
        round_even(sum(cpu_headroom), 6) AS headroom, round_even(sum(teacher_score), 6) AS scores
-FROM ({ROW_SQL.replace("nominated_l", "labelled")}) GROUP BY event_id"""
+FROM ({ROW_SQL}) GROUP BY event_id"""
 
 
 def stored_columns(df):

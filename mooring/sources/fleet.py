@@ -272,15 +272,6 @@ def request_log(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> D
     )
 
 
-def nominated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of an arriving pod and the nodes its line items name."""
-    named = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("node_id")).distinct()
-    arrivals = pods(spark, sf_dir).drop("cluster_id")
-    return attach(named.join(arrivals, "event_id"), nodes(spark, sf_dir), "node_id",
-                  spread_by=["event_id"])
-
-
 def quantity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity strings in all spellings, unreadable ones included."""
     n = F.col("o_orderkey").cast("string")
