@@ -5,21 +5,37 @@ from pyspark.sql import functions as F
 from mooring.constants import DEFAULT_SNAPSHOT
 from mooring.functions.features import current_percents
 from mooring.operators.predicates import is_active
-from mooring.scale import attach, is_bounded, positions, spread_by_event
+from mooring.scale import attach, positions
 
+EVENT = "event_id"
 PAIR_KEY = "cluster_id"
+SPREAD = "_spread"
+#: Parts that the events of a cluster are dealt into; nodes are repeated as often.
+SPREADS = 64
 
 
-def candidates(pods: DataFrame, nodes: DataFrame, keep_events_together=False) -> DataFrame:
-    """Every (pod, node) pair of one cluster.
+def candidates(pods: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every (pod, node) pair of one cluster, one way at every size.
 
-    With keep_events_together the narrow pod rows are hashed by event before
-    the broadcast join multiplies them, so ranking needs no exchange of pairs.
+    Pods are dealt by cluster and a part of the events, nodes repeated for each part, and the two
+    meet in a hash join. A cluster with a third of all pods is in as many tasks as there are parts,
+    and nothing is broadcast or measured. All pairs of an event lie in one partition, which
+    `event_keys` tells Spark: windows and groups over an event need no exchange of pairs.
     """
-    bounded = is_bounded(nodes)
-    if keep_events_together and bounded:
-        pods = spread_by_event(pods, "event_id")
-    return attach(pods, nodes, PAIR_KEY, spread_by=["pod_id"], bounded=bounded)
+    dealt = with_spread(pods)
+    repeated = nodes.withColumn(SPREAD, F.explode(F.sequence(F.lit(0), F.lit(SPREADS - 1))))
+    return dealt.join(repeated.hint("shuffle_hash"), [PAIR_KEY, SPREAD])
+
+
+def with_spread(rows: DataFrame) -> DataFrame:
+    """Adds the part that a row's event is dealt to."""
+    return rows.withColumn(SPREAD, F.pmod(F.xxhash64(EVENT), F.lit(SPREADS)).cast("int"))
+
+
+def event_keys(pairs: DataFrame) -> list:
+    """Columns by which the pairs of an event lie together: the event, and how its pods were dealt."""
+    dealt = [PAIR_KEY, SPREAD] if {PAIR_KEY, SPREAD} <= set(pairs.columns) else []
+    return [*dealt, EVENT]
 
 
 def usage_of(pods: DataFrame) -> DataFrame:

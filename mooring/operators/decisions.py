@@ -3,7 +3,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.operators.predicates import SCHEDULER_NAME, claim_names, has_claims
-from mooring.scale import attach, is_bounded
 
 
 def scheduled_events(placed: DataFrame, component=SCHEDULER_NAME) -> DataFrame:
@@ -43,14 +42,11 @@ def placement_events(pods: DataFrame, nodes: DataFrame, placed: DataFrame) -> Da
     """
     names = nodes.select(F.col("node_id").alias("best_node_id"), "node_name")
     outcome = pods.select("event_id", "pod_id", "cluster_id").join(placed, "event_id", "left")
-    # One node may win a third of all pods, so its name is attached skew-safe.
-    bounded = is_bounded(nodes)
-    scheduled = attach(
-        outcome.where(F.col("best_node_id").isNotNull()), names, "best_node_id",
-        spread_by=["pod_id"], bounded=bounded).withColumn("score", F.col("best_score"))
+    # One node may win a third of all pods: adaptive execution splits its rows, or broadcasts the names.
+    scheduled = outcome.where(F.col("best_node_id").isNotNull()).join(
+        names, "best_node_id").withColumn("score", F.col("best_score"))
     ready = nodes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("ready_nodes"))
-    unplaced = attach(outcome.where(F.col("best_node_id").isNull()), ready, "cluster_id",
-                      spread_by=["pod_id"], bounded=bounded)
+    unplaced = outcome.where(F.col("best_node_id").isNull()).join(ready, "cluster_id")
     return scheduled_events(scheduled).unionByName(failed_events(unplaced)).unionByName(
         claim_events(pods))
 

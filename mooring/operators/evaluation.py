@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from mooring.constants import (
     SCORE_BANDS, VERDICT_AVG_GAP, VERDICT_AVG_RANK, VERDICT_EXACT_MATCH_PCT,
 )
-from mooring.operators.ranking import EVENT, average_ranks
+from mooring.operators.candidates import EVENT, event_keys
+from mooring.operators.ranking import average_ranks
 from mooring.scale import exact_median, with_scalar
 
 
@@ -39,8 +40,9 @@ def band_mae(rows: DataFrame, label="teacher_score", pred="pred") -> DataFrame:
 
 def winner_accuracy(rows: DataFrame, pred="pred", k=3) -> DataFrame:
     """Top-1 and top-k hit rates over events that have a selected row."""
-    order = Window.partitionBy(EVENT).orderBy(F.col(pred).desc(), F.col("node_id"))
-    placed = rows.select(EVENT, "node_id", pred, "selected_by_scheduler").withColumn(
+    keys = event_keys(rows)
+    order = Window.partitionBy(*keys).orderBy(F.col(pred).desc(), F.col("node_id"))
+    placed = rows.select(*keys, "node_id", pred, "selected_by_scheduler").withColumn(
         "place", F.row_number().over(order))
     hits = placed.where(F.col("selected_by_scheduler") == 1).select(
         F.when(F.col("place") == 1, 1.0).otherwise(0.0).alias("first"),
@@ -52,15 +54,17 @@ def winner_accuracy(rows: DataFrame, pred="pred", k=3) -> DataFrame:
 
 def event_spearman(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
     """Spearman correlation per event; null where a side is constant."""
-    ranked = average_ranks(rows.select(EVENT, x, y), [x, y])
+    keys = event_keys(rows)
+    ranked = average_ranks(rows.select(*keys, x, y), [x, y])
     a, b = F.col(f"rank_{x}"), F.col(f"rank_{y}")
     n = F.count(F.lit(1))
     # Ranks are multiples of one half, so these sums are exact.
     cov = n * F.sum(a * b) - F.sum(a) * F.sum(b)
     var_a = n * F.sum(a * a) - F.sum(a) * F.sum(a)
     var_b = n * F.sum(b * b) - F.sum(b) * F.sum(b)
-    return ranked.groupBy(EVENT).agg(F.when(
-        (var_a > 0) & (var_b > 0), cov / F.sqrt(var_a * var_b)).alias("spearman"))
+    return ranked.groupBy(*keys).agg(F.when(
+        (var_a > 0) & (var_b > 0), cov / F.sqrt(var_a * var_b)).alias("spearman")).select(
+        EVENT, "spearman")
 
 
 def pair_counts(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
@@ -72,10 +76,11 @@ def pair_counts(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
     concordant and discordant pairs. Work is rows x digits, not rows squared;
     an event uses the digits of its largest rank.
     """
-    event = Window.partitionBy(EVENT)
+    keys = event_keys(rows)
+    event = Window.partitionBy(*keys)
     by_x, by_y = event.orderBy("x"), event.orderBy("y")
     # Row number minus rank counts the earlier rows with the same value.
-    ranked = rows.select(EVENT, F.col(x).alias("x"), F.col(y).alias("y")).withColumns({
+    ranked = rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).withColumns({
         "r": F.dense_rank().over(by_y) - 1,
         "same_y": F.row_number().over(by_y) - F.rank().over(by_y),
         "same_x": F.row_number().over(by_x) - F.rank().over(by_x),
@@ -83,19 +88,19 @@ def pair_counts(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
     split = ranked.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
     digit = F.expr("shiftright(r, level) & 1")
     once = F.col("level") == 0
-    counted = split.groupBy(EVENT, "level", F.expr("shiftright(r, level + 1)").alias("prefix"),
+    counted = split.groupBy(*keys, "level", F.expr("shiftright(r, level + 1)").alias("prefix"),
                             "x").agg(
         F.sum(1 - digit).alias("zeros"), F.sum(digit).alias("ones"),
         F.sum(F.when(once, F.col("same_x")).otherwise(0)).alias("same_x"),
         F.sum(F.when(once, F.col("same_y")).otherwise(0)).alias("same_y"),
         F.sum(F.when(once, 1).otherwise(0)).alias("n"))
-    before = Window.partitionBy(EVENT, "level", "prefix").orderBy("x").rowsBetween(
+    before = Window.partitionBy(*keys, "level", "prefix").orderBy("x").rowsBetween(
         Window.unboundedPreceding, -1)
     return counted.select(
-        EVENT, "n", "same_x", "same_y",
+        *keys, "n", "same_x", "same_y",
         (F.col("ones") * F.coalesce(F.sum("zeros").over(before), F.lit(0))).alias("agree"),
         (F.col("zeros") * F.coalesce(F.sum("ones").over(before), F.lit(0))).alias("differ"),
-    ).groupBy(EVENT).agg(
+    ).groupBy(*keys).agg(
         F.sum("agree").alias("concordant"), F.sum("differ").alias("discordant"),
         F.sum("same_x").alias("tied_x"), F.sum("same_y").alias("tied_y"), F.sum("n").alias("n"))
 

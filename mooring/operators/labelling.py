@@ -48,8 +48,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def described_candidates(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidate pairs with text ids and without nested columns."""
-    return candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)),
-                      keep_events_together=True)
+    return candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)))
 
 
 def label_dataset(pods: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from mooring.operators.predicates import (
     fits_total, is_pending, is_ready, matches_constraints,
 )
 from mooring.operators.ranking import best_node
-from mooring.scale import attach
 
 CONSTRAINTS = ["tolerations", "affinity_terms"]
 
@@ -45,7 +44,8 @@ def eligible_pairs(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     Pods of one workload share their constraints, so the nested checks run once per distinct set
     and node: never on more rows than pods times nodes, and on far fewer where sets repeat. Pods
     then meet the nodes that their set allows by the set's hash, and by its arrays in case two
-    sets share one.
+    sets share one. Neither side is measured: nothing above the joins needs their partitions, so
+    adaptive execution broadcasts a side that turns out small and splits a hot cluster or set.
     """
     ready = ready_nodes(nodes)
     asked = pod_requests(pods).withColumns({
@@ -54,13 +54,13 @@ def eligible_pairs(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = asked.select(PAIR_KEY, "_set", *CONSTRAINTS).distinct()
     # What only the checks need stays out of the rows that pods are joined with.
     unused = [c for c in ("labels", "taints", "conditions", "unschedulable") if c in ready.columns]
-    allowed = attach(sets, ready, PAIR_KEY).where(matches_constraints()).drop(*unused)
+    allowed = sets.join(ready, PAIR_KEY).where(matches_constraints()).drop(*unused)
     renamed = allowed.withColumnsRenamed({c: f"_{c}" for c in CONSTRAINTS})
     same = F.lit(True)
     for c in CONSTRAINTS:
         same &= F.col(c) == F.col(f"_{c}")
-    return attach(asked, renamed, [PAIR_KEY, "_set"], spread_by=["pod_id"]).where(same).where(
-        fits_total()).drop("_set", *[f"_{c}" for c in CONSTRAINTS])
+    return asked.join(renamed, [PAIR_KEY, "_set"]).where(same).where(fits_total()).drop(
+        "_set", *[f"_{c}" for c in CONSTRAINTS])
 
 
 def online_score(pairs: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.constants import MIN_ACCEPTABLE_SCORE
-
-EVENT = "event_id"
+from mooring.operators.candidates import EVENT, event_keys
 
 
 def best_node(scored: DataFrame, score="score", threshold=MIN_ACCEPTABLE_SCORE) -> DataFrame:
@@ -35,7 +34,7 @@ def rank_labels(scored: DataFrame) -> DataFrame:
     Input: feasible, teacher_score. Events without a feasible node give no
     signal and are dropped.
     """
-    by_score = Window.partitionBy(EVENT).orderBy(
+    by_score = Window.partitionBy(*event_keys(scored)).orderBy(
         F.col("feasible").desc(), F.col("teacher_score").desc(), F.col("node_id"))
     ranked = scored.withColumns({
         "_place": F.row_number().over(by_score),
@@ -54,7 +53,7 @@ def rank_labels(scored: DataFrame) -> DataFrame:
 
 def top_k(scored: DataFrame, k: int, score="pred") -> DataFrame:
     """Best k candidates per event with their place."""
-    order = Window.partitionBy(EVENT).orderBy(F.col(score).desc(), F.col("node_id"))
+    order = Window.partitionBy(*event_keys(scored)).orderBy(F.col(score).desc(), F.col("node_id"))
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
@@ -64,14 +63,15 @@ def cross_rank(scored: DataFrame, threshold=None) -> DataFrame:
     One row per event: both picks, model_rank, score_gap, and whether the
     picked node lacks free capacity.
     """
-    teacher = Window.partitionBy(EVENT).orderBy(F.col("teacher_score").desc(), F.col("node_id"))
+    event = Window.partitionBy(*event_keys(scored))
+    teacher = event.orderBy(F.col("teacher_score").desc(), F.col("node_id"))
     ranked = scored.withColumn("_rank", F.row_number().over(teacher))
     order = [(-F.col("pred")).alias("p"), F.col("node_id")]
     if threshold is not None:
         order = [F.when(F.col("pred") >= threshold, 0).otherwise(1).alias("t")] + order
     pick = F.min(F.struct(*order, F.col("_rank").alias("rank"), F.col("teacher_score").alias("s"),
                           F.col("feasible").alias("fits")))
-    return ranked.groupBy(EVENT).agg(
+    return ranked.groupBy(*event_keys(scored)).agg(
         pick.alias("model"),
         F.min(F.struct("_rank", "node_id")).alias("teacher"),
         F.max("teacher_score").alias("best"),
@@ -89,8 +89,8 @@ def average_ranks(scored: DataFrame, columns) -> DataFrame:
     """Average ranks with ties, per event, as rank_<column>."""
     out = scored
     for name in columns:
-        order = Window.partitionBy(EVENT).orderBy(name)
-        ties = Window.partitionBy(EVENT, name)
+        order = Window.partitionBy(*event_keys(scored)).orderBy(name)
+        ties = Window.partitionBy(*event_keys(scored), name)
         out = out.withColumn(
             f"rank_{name}",
             F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
@@ -111,11 +111,13 @@ def orders_agree(scored: DataFrame) -> DataFrame:
     The lists are equal exactly when every node holds the same place in both,
     so no list is ever collected.
     """
-    teacher = Window.partitionBy(EVENT).orderBy(F.col("teacher_score").desc(), F.col("node_id"))
-    model = Window.partitionBy(EVENT).orderBy(F.col("pred").desc(), F.col("node_id"))
+    event = Window.partitionBy(*event_keys(scored))
+    teacher = event.orderBy(F.col("teacher_score").desc(), F.col("node_id"))
+    model = event.orderBy(F.col("pred").desc(), F.col("node_id"))
     placed = scored.withColumn("_t", F.row_number().over(teacher)).withColumn(
         "_m", F.row_number().over(model))
-    return placed.groupBy(EVENT).agg(F.bool_and(F.col("_t") == F.col("_m")).alias("same_order"))
+    return placed.groupBy(*event_keys(scored)).agg(
+        F.bool_and(F.col("_t") == F.col("_m")).alias("same_order")).select(EVENT, "same_order")
 
 
 def agreement(scored: DataFrame) -> DataFrame:

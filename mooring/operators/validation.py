@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mooring.constants import GIB
 from mooring.functions.units import round_exact
+from mooring.operators.candidates import event_keys
 from mooring.scale import positions
 from mooring.session import ship_package
 
@@ -45,7 +46,7 @@ def overview(labelled: DataFrame) -> DataFrame:
 
 def average_cluster(labelled: DataFrame) -> DataFrame:
     """Mean cluster size and mean feasible nodes over events."""
-    events = labelled.groupBy("event_id").agg(
+    events = labelled.groupBy(*event_keys(labelled)).agg(
         F.min("cluster_size").alias("size"), _count_if(F.col("feasible")).alias("fits"))
     return events.agg(F.avg("size").alias("avg_cluster_size"),
                       F.avg("fits").alias("avg_feasible_nodes"))

@@ -5,6 +5,7 @@ from mooring.constants import CANDIDATE_ROW
 from mooring.functions.features import rounded_ratios
 from mooring.functions.units import round_exact
 from mooring.operators import boosting, placement, ranking, replay, student
+from mooring.operators.candidates import event_keys
 from mooring.plans.matching import scored_pairs, waiting_pods
 from mooring.plans.oracle_base import (
     CPU, DENSITY, cte, curve_sql, derived, labels, query, teacher,
@@ -164,13 +165,13 @@ def digest(labelled_rows):
     """One row per event over the stored columns; ids stay numbers, so sums hash."""
     rounding = {**rounded_ratios(), **{c: round_exact(F.col(c), 6) for c in SCORES}}
     rows = labelled_rows.withColumns(rounding)
-    return rows.groupBy("event_id").agg(
+    return rows.groupBy(*event_keys(rows)).agg(
         F.max("best_node_id").alias("best_node"), F.min("node_id").alias("first_node"),
         F.max("node_id").alias("last_node"), F.count(F.lit(1)).alias("nodes"),
         F.sum(F.col("feasible").cast("int")).alias("feasible"),
         F.sum(F.length("reject_reason")).alias("reject_letters"),
         *[F.bround(F.sum(F.col(c).cast("double")), 6).alias(c) for c in DIGEST],
-        *[F.sum(c).cast("long").alias(c) for c in DIGEST_LONG])
+        *[F.sum(c).cast("long").alias(c) for c in DIGEST_LONG]).drop("cluster_id", "_spread")
 
 
 @register("label_dataset", query(_digest_sql("labelled"), "labelled"))

@@ -9,29 +9,32 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of df's values, by one distributed sum: nested and text columns as they are written."""
-    flat = [c for c, kind in df.dtypes if not kind.startswith(("string", "array", "map", "struct",
-                                                               "binary"))]
-    varying = [c for c in df.columns if c not in flat]
-    size = F.lit(16 + 8 * len(flat)).cast("long")
-    if varying:
-        size += F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in varying])))
-    return df.select(F.sum(size)).first()[0] or 0
+#: Bytes in memory for a byte of a stored table, at most: compressed columns become wide rows.
+EXPANSION = 16
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of df's size, from the sizes of its files; no job is run for it.
+
+    Filters and aggregates count as if they kept every row, and a join as the product of its sides:
+    the estimate errs to the large side.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when df is small enough to be broadcast, by its measured bytes."""
-    return measured_bytes(df) <= max_bytes
+    """True when df is certainly small enough to be broadcast, by the sizes of its files."""
+    return estimated_bytes(df) * EXPANSION <= max_bytes
 
 
 def attach(big: DataFrame, small: DataFrame, on, how="inner", max_bytes=BROADCAST_BYTES,
            salts=SALTS, spread_by=None, bounded=None) -> DataFrame:
     """Join a large frame to a dimension without moving a hot key to one task.
 
-    The dimension is broadcast only when its measured size is bounded. Beyond
-    that the large side is salted and the dimension repeated once per salt, so
-    that a key holding a third of all rows is spread over `salts` tasks.
+    The dimension is broadcast only where the sizes of its files bound it, or
+    the caller has seen that those of its rows' source do. Beyond that the large
+    side is salted and the dimension repeated once per salt, so that a key
+    holding a third of all rows is spread over `salts` tasks.
     """
     on = [on] if isinstance(on, str) else list(on)
     if bounded is None:
@@ -44,16 +47,6 @@ def attach(big: DataFrame, small: DataFrame, on, how="inner", max_bytes=BROADCAS
     return salted.join(repeated, on + ["_salt"], how).drop("_salt")
 
 
-def spread_by_event(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by key before they are multiplied by a broadcast join.
-
-    A broadcast join keeps the partitioning of its streamed side, so windows
-    over the same key need no further exchange of the multiplied rows.
-    """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *keys)
-
-
 def positions(df: DataFrame, group, order, sums=()) -> DataFrame:
     """Exact per-group row numbers and running sums without one-task windows.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mooring.constants import BASE_PROFILES, EXTENDED_PROFILES, GIB
 from mooring.functions.units import allocatable_cpu, allocatable_memory, quantize_cpu
 from mooring.operators.predicates import SCHEDULER_NAME
-from mooring.scale import attach
+from mooring.scale import attach, is_bounded
 
 NODES_PER_CLUSTER = 40
 CUSTOMERS_PER_CLUSTER = 600
@@ -245,7 +245,9 @@ def score_requests(spark: SparkSession, sf_dir: str, node_states: DataFrame = No
         F.floor(F.col("l_extendedprice") * 20480).cast("long").alias("requested_memory"),
     )
     states = nodes(spark, sf_dir) if node_states is None else node_states
-    return attach(asked, states, "node_id", how, spread_by=["pod_id", "line"])
+    # States have a row per supplier, so the file of suppliers bounds them.
+    return attach(asked, states, "node_id", how, spread_by=["pod_id", "line"],
+                  bounded=is_bounded(table(spark, sf_dir, "supplier")))
 
 
 def telemetry(spark: SparkSession, sf_dir: str, source: DataFrame = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mooring.constants import GIB
 from mooring.functions.units import round_exact
+from mooring.operators.candidates import event_keys
 from mooring.operators.labelling import label_dataset
 from mooring.operators.validation import PENALTIES, UTILISATION
 from mooring.streaming.jobs import _drain
@@ -54,7 +55,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _events(rows: DataFrame) -> DataFrame:
     """Events and their cluster sizes, in the form of `_moments`; events never straddle batches."""
-    events = rows.groupBy("event_id").agg(F.min("cluster_size").cast("long").alias("size"))
+    events = rows.groupBy(*event_keys(rows)).agg(F.min("cluster_size").cast("long").alias("size"))
     empty = ", ".join(f"CAST(NULL AS DOUBLE) {c}" for c in ("mean", "squares", "lowest", "highest"))
     return events.agg(
         F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("size"), F.lit(0)).alias("cluster_sizes")

@@ -1,12 +1,14 @@
 """Skew-safe helpers, checked on groups that hold most of the rows."""
 import random
 import statistics
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from mooring.operators import candidates as cand
-from mooring.operators import labelling, replay, validation
-from mooring.scale import attach, exact_median, is_bounded, measured_bytes, positions
+from mooring.operators import evaluation, labelling, replay, validation
+from mooring.scale import attach, estimated_bytes, exact_median, is_bounded, positions
 from builders import make_nodes, make_pods
 
 
@@ -52,12 +54,46 @@ def test_attach_gives_equal_rows_broadcast_and_salted(spark):
         assert one.count() == two.count()
 
 
-def test_broadcast_is_decided_by_bytes(spark):
-    narrow = spark.range(1000)
-    wide = narrow.select("id", F.array_repeat(F.lit("x" * 100), 10).alias("texts"))
-    assert 8_000 <= measured_bytes(narrow) <= 40_000 and measured_bytes(wide) > 1_000_000
-    assert is_bounded(narrow, 100_000) and not is_bounded(wide, 100_000)
-    assert measured_bytes(narrow.where("id < 0")) == 0
+def test_broadcast_is_decided_by_file_sizes(spark, tmp_path):
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    files = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert files / 2 <= estimated_bytes(stored) <= files * 2
+    assert is_bounded(stored, files * 40) and not is_bounded(stored, files)
+    # A join counts as the product of its sides: never bounded by mistake.
+    assert estimated_bytes(stored.join(stored.withColumnRenamed("id", "b"), F.col("id") == F.col(
+        "b"))) > files * files / 4
+
+
+def jobs_while(spark, build):
+    """Jobs that Spark starts while build() makes its plan."""
+    group = f"plan-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "plan")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("name", [
+    "best_node_topk", "placement_events", "filter_nodes", "preferred_set", "teacher_rank", "overview",
+    "score_stats", "penalty_hist", "utilization_stats", "label_integrity", "band_mae", "node_affinity",
+    "winner_accuracy", "mean_spearman", "features18", "heuristic_score", "tolerates_taints"])
+def test_plans_start_no_job(spark, sf, name):
+    """Only the schemas of the given tables are read, a job of its own each."""
+    from mooring.plans.catalog import QUERIES
+    tables = {"orders", "lineitem", "supplier", "events"}
+    reads = jobs_while(spark, lambda: [spark.read.parquet(f"{sf}/{t}.parquet") for t in tables])
+    mine = jobs_while(spark, lambda: QUERIES[name](spark, sf))
+    schemas = []
+    real = type(spark.read).parquet
+    try:
+        type(spark.read).parquet = lambda self, *p, **k: (schemas.append(p), real(self, *p, **k))[1]
+        QUERIES[name](spark, sf)
+    finally:
+        type(spark.read).parquet = real
+    assert reads <= len(tables) and mine <= len(schemas)
 
 
 def test_median(spark):
@@ -97,26 +133,37 @@ def test_correlations_with_a_constant_column(spark):
     assert {r["name"]: r["constant"] for r in constant} == {"a": False, "c": True}
 
 
-def test_labels_equal_with_and_without_broadcast(spark, monkeypatch):
+def test_labels_do_not_depend_on_the_parts(spark, monkeypatch):
     pods = make_pods(spark, [(i, 0 if i % 3 else 1, i % 5, 100 + i % 7 * 300, 1000 + i)
                              for i in range(90)])
     nodes = make_nodes(spark, [(n, 1900 * (n % 4 + 1), 10_000, 100 * n, 50 * n, n, n % 2)
                                for n in range(12)])
     wanted = ["event_id", "node_id", "teacher_rank", "teacher_score", "best_node_id"]
-    small = labelling.label_dataset(pods, nodes).select(wanted)
-    monkeypatch.setattr(cand, "is_bounded", lambda df: False)
-    large = labelling.label_dataset(pods, nodes).select(wanted)
-    assert small.count() > 0
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    many = labelling.label_dataset(pods, nodes).select(wanted)
+    monkeypatch.setattr(cand, "SPREADS", 1)
+    one = labelling.label_dataset(pods, nodes).select(wanted)
+    assert many.count() == 90 // 3 * 6 * 3
+    assert many.exceptAll(one).count() == 0 and one.exceptAll(many).count() == 0
 
 
 def test_ranking_moves_pods_not_pairs(spark, sf):
+    """No exchange above the pair join, and the join has no broadcast."""
+    from mooring.plans.matching import scored_pairs
     from mooring.plans.reports import labelled
-    plan = labelled(spark, sf).select("event_id", "teacher_rank")._jdf.queryExecution() \
-        .executedPlan().toString()
-    window = plan.index("Window")
-    below = plan[window:plan.index("BroadcastHashJoin [cluster_id")]
-    assert "Exchange" not in below
+    ranked = labelled(spark, sf).select("event_id", "teacher_rank")
+    for frame in (ranked, evaluation.event_spearman(scored_pairs(spark, sf))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        above = plan[:plan.index("ShuffledHashJoin [cluster_id")]
+        assert "Window" in above and "Exchange" not in above
+        assert "BroadcastHashJoin [cluster_id" not in plan
+
+
+def test_a_hot_cluster_is_dealt_by_event(spark):
+    pods = make_pods(spark, [(i, 0, 0, 100, 100) for i in range(640)])
+    nodes = make_nodes(spark, [(n, 1900, 10_000, 0, 0, 0) for n in range(3)])
+    pairs = cand.candidates(pods, nodes)
+    sizes = pairs.groupBy("_spread").agg(F.count_distinct("event_id").alias("n")).collect()
+    assert len(sizes) == cand.SPREADS and max(r.n for r in sizes) < 30 and pairs.count() == 1920
 
 
 def test_usage_scan_prunes_columns_and_pushes_the_phase(spark, sf):
