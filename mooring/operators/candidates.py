@@ -22,9 +22,11 @@ def candidates(pods: DataFrame, nodes: DataFrame) -> DataFrame:
     and nothing is broadcast or measured. All pairs of an event lie in one partition, which
     `event_keys` tells Spark: windows and groups over an event need no exchange of pairs.
     """
-    dealt = with_spread(pods)
     repeated = nodes.withColumn(SPREAD, F.explode(F.sequence(F.lit(0), F.lit(SPREADS - 1))))
-    return dealt.join(repeated.hint("shuffle_hash"), [PAIR_KEY, SPREAD])
+    # A fixed number of partitions: by the size of the narrow pods, few would be left for their pairs.
+    count = int(pods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, met = (side.repartition(count, PAIR_KEY, SPREAD) for side in (with_spread(pods), repeated))
+    return dealt.join(met.hint("shuffle_hash"), [PAIR_KEY, SPREAD])
 
 
 def with_spread(rows: DataFrame) -> DataFrame:
@@ -33,9 +35,12 @@ def with_spread(rows: DataFrame) -> DataFrame:
 
 
 def event_keys(pairs: DataFrame) -> list:
-    """Columns by which the pairs of an event lie together: the event, and how its pods were dealt."""
+    """Columns by which the pairs of an event lie together: the event, and how its pods were dealt.
+
+    The event comes first: sorts then tell rows apart by their first column.
+    """
     dealt = [PAIR_KEY, SPREAD] if {PAIR_KEY, SPREAD} <= set(pairs.columns) else []
-    return [*dealt, EVENT]
+    return [EVENT, *dealt]
 
 
 def usage_of(pods: DataFrame) -> DataFrame:

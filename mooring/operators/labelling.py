@@ -46,9 +46,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if not isinstance(f.dataType, nested)])
 
 
-def described_candidates(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs with text ids and without nested columns."""
-    return candidates(with_pod_labels(_flat(pods)), with_node_labels(_flat(nodes)))
+def described_candidates(pods: DataFrame, nodes: DataFrame, known: DataFrame = None) -> DataFrame:
+    """Candidate pairs with text ids and without nested columns, but for those of known by event."""
+    described = with_pod_labels(_flat(pods))
+    if known is not None:
+        described = described.join(known, "event_id", "left")
+    return candidates(described, with_node_labels(_flat(nodes)))
 
 
 def label_dataset(pods: DataFrame, nodes: DataFrame) -> DataFrame:
