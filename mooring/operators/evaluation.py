@@ -67,6 +67,24 @@ def event_spearman(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
         EVENT, "spearman")
 
 
+def event_pairs(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
+    """Every pair of an event's rows once: event_id, node_a < node_b, and the signs of both differences.
+
+    An event's rows become one sorted array where they lie, and each of them meets those behind it:
+    no join, no exchange of pairs. An array is as long as the event has candidates.
+    """
+    keys = event_keys(rows)
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "node_id", F.col(x).alias("x"), F.col(y).alias("y")))).alias("_rows"))
+    first = listed.select(EVENT, "_rows", F.posexplode("_rows").alias("_at", "a"))
+    rest = F.slice("_rows", F.col("_at") + 2, F.size("_rows"))
+    pairs = first.select(EVENT, "a", F.explode(rest).alias("b"))
+    return pairs.select(
+        EVENT, F.col("a.node_id").alias("node_a"), F.col("b.node_id").alias("node_b"),
+        F.signum(F.col("a.x") - F.col("b.x")).cast("int").alias("sign_x"),
+        F.signum(F.col("a.y") - F.col("b.y")).cast("int").alias("sign_y"))
+
+
 def pair_counts(rows: DataFrame, x="teacher_score", y="pred") -> DataFrame:
     """Concordant, discordant and tied pairs per event without forming pairs.
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from mooring.constants import GIB
 from mooring.functions.units import round_exact
 from mooring.operators.candidates import event_keys
-from mooring.scale import positions
 from mooring.session import ship_package
 
+#: Cuts of the Gini coefficient for each doubling of a value.
+CUTS_PER_DOUBLING = 1024
 PENALTIES = ["cpu_penalty", "memory_penalty", "density_penalty"]
 
 
@@ -162,20 +163,29 @@ def label_integrity(labelled: DataFrame) -> DataFrame:
 def gini(labelled: DataFrame, columns, high=0.8) -> DataFrame:
     """Exact Gini coefficient per column over absolute values.
 
-    Rows collapse to distinct values with counts, values are range-partitioned,
-    and each partition only adds the totals of earlier partitions.
+    Rows collapse to distinct values with counts, in cuts by magnitude that need no look at the data:
+    a thousand for each doubling. A cut sorts its own values alone; its count, mass and area are
+    merged with those of the cuts below it, of which there are a few thousand per column.
     """
     long = _unpivot(labelled.select(*columns), columns).select(
         "name", F.abs(F.coalesce("value", F.lit(0.0))).alias("value"))
     finite = long.where(~F.isnan("value") & (F.col("value") < float("inf")))
-    counted = finite.groupBy("name", "value").agg(F.count(F.lit(1)).alias("k")).withColumn(
-        "mass", F.col("k") * F.col("value"))
-    placed = positions(counted, "name", "value", sums=("k", "mass"))
+    # The logarithm never falls as the value rises, so neither do the cuts.
+    cut = F.when(F.col("value") > 0, F.floor(F.log2("value") * CUTS_PER_DOUBLING))
+    counted = finite.groupBy("name", cut.alias("cut"), "value").agg(
+        F.count(F.lit(1)).alias("k")).withColumn("mass", F.col("k") * F.col("value"))
+    below = Window.partitionBy("name", "cut").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, -1)
     # A value repeated k times adds its running sums after 1, 2, .. k copies.
-    before = F.col("mass_through") - F.col("mass")
+    before = F.coalesce(F.sum("mass").over(below), F.lit(0.0))
     block = F.col("k") * before + F.col("value") * F.col("k") * (F.col("k") + 1) / 2
-    sums = placed.groupBy("name").agg(
-        F.sum(block).alias("area"), F.max("k_total").alias("n"), F.max("mass_total").alias("t"))
+    cuts = counted.withColumn("block", block).groupBy("name", "cut").agg(
+        F.sum("k").alias("k"), F.sum("mass").alias("mass"), F.sum("block").alias("block"))
+    lower = Window.partitionBy("name").orderBy(F.col("cut").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    under = F.coalesce(F.sum("mass").over(lower), F.lit(0.0))
+    sums = cuts.withColumn("area", F.col("block") + F.col("k") * under).groupBy("name").agg(
+        F.sum("area").alias("area"), F.sum("k").alias("n"), F.sum("mass").alias("t"))
     coefficient = F.when(F.col("t") == 0, 0.0).otherwise(
         (F.col("n") + 1 - 2.0 * F.col("area") / F.col("t")) / F.col("n"))
     return sums.select("name", coefficient.alias("gini"),

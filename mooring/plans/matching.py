@@ -345,6 +345,24 @@ def rank_pairs(spark, sf):
     return counts.where("n > 1").select("event_id", "concordant", "discordant")
 
 
+@register("rank_pair_rows", query("""
+SELECT a.event_id, count(*) AS pairs, CAST(sum(a.node_id * 1000003 + b.node_id) AS BIGINT) AS nodes,
+       CAST(sum(CASE WHEN sign(a.t_score - b.t_score) * sign(a.heur - b.heur) > 0 THEN 1 ELSE 0 END)
+            AS BIGINT) AS concordant,
+       CAST(sum(CASE WHEN sign(a.t_score - b.t_score) * sign(a.heur - b.heur) < 0 THEN 1 ELSE 0 END)
+            AS BIGINT) AS discordant
+FROM fit a JOIN fit b ON a.event_id = b.event_id AND a.node_id < b.node_id GROUP BY 1""", "fit"))
+def rank_pair_rows(spark, sf):
+    """The pairs themselves, told per event by sums over their rows."""
+    rows = evaluation.event_pairs(scored_pairs(spark, sf))
+    agree = F.col("sign_x") * F.col("sign_y")
+    return rows.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.sum(F.col("node_a") * 1000003 + F.col("node_b")).alias("nodes"),
+        count_if(agree > 0, "concordant").cast("long").alias("concordant"),
+        count_if(agree < 0, "discordant").cast("long").alias("discordant"))
+
+
 def scored_pairs(spark, sf):
     """Feasible candidates with teacher labels and the heuristic as prediction."""
     labelled = label_dataset(fleet.pods(spark, sf), fleet.nodes(spark, sf))

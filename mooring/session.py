@@ -54,6 +54,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored_rows(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows never redoes its work."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of df, so that a lost executor costs no replay."""
     context = df.sparkSession.sparkContext

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from mooring.operators import candidates as cand
 from mooring.operators import evaluation, labelling, replay, validation
-from mooring.scale import attach, estimated_bytes, exact_median, is_bounded, positions
+from mooring.scale import (
+    attach, estimated_bytes, exact_median, is_bounded, nth_value, positions,
+)
+from mooring.sources.datasets import first_rows
 from builders import make_nodes, make_pods
 
 
@@ -179,3 +182,60 @@ def test_episodes_split_a_hot_cluster(spark):
     rows = replay.episodes(pods).groupBy("cluster_id", "episode").count()
     assert rows.agg(F.max("count")).first()[0] == 20
     assert rows.where("cluster_id = 0").count() == 16
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("long", [5, 5, 5, -(1 << 61), 1 << 61, 0, 7, 7, None, 3, None, 5]),
+    ("double", [0.1, 0.1 + 2 ** -55, 1e300, -1e300, 0.0, 2.5, 2.5, None, 1e-300, 0.1]),
+    ("long", [4]), ("double", [None, None, 1.5])])
+def test_nth_value_by_narrowing(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}").repartition(3)
+    ordered = sorted(values, key=lambda v: (v is not None, v or 0))
+    for n in range(1, len(values) + 1):
+        want = ordered[n - 1]
+        assert nth_value(df, "v", n) == (want, ordered.index(want), ordered.count(want))
+    with pytest.raises(ValueError):
+        nth_value(df, "v", len(values) + 1)
+
+
+def test_first_rows_without_a_sort(spark):
+    rng = random.Random(6)
+    data = [(rng.randrange(6), rng.choice([None, 1, 2]), rng.randrange(3), i) for i in range(400)]
+    data += [(2, 1, 1, -1)] * 30
+    df = spark.createDataFrame(data, "a long, b long, c long, id long").repartition(7)
+    order = ["a", "b", "c"]
+    for n in (1, 50, 137, 200, 429, 430, 900):
+        rows = first_rows(df, n, order)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Sort" not in plan
+        want = df.orderBy(*order).limit(n).select(order).collect()
+        assert sorted(map(str, rows.select(order).collect())) == sorted(map(str, want))
+    # With an order of all columns the rows themselves are fixed.
+    whole = [*order, "id"]
+    assert sorted(map(str, first_rows(df, 211, whole).collect())) == sorted(map(str, df.orderBy(
+        *whole).limit(211).collect()))
+
+
+def test_gini_and_median_sort_no_table(spark):
+    df = spark.range(5000).select((F.col("id") % 97 * 1.5).alias("a"))
+    plan = validation.gini(df, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    empty = exact_median(df.where("a < 0"), "a", "m").first()
+    assert empty.m is None
+
+
+def test_pairs_as_rows_equal_the_self_join(spark, sf):
+    from mooring.plans.matching import scored_pairs
+    rows = scored_pairs(spark, sf).where("event_id % 50 = 0")
+    got = evaluation.event_pairs(rows)
+    a = rows.select("event_id", F.col("node_id").alias("node_a"), F.col("teacher_score").alias("p"),
+                    F.col("pred").alias("q"))
+    b = rows.select("event_id", F.col("node_id").alias("node_b"), F.col("teacher_score").alias("r"),
+                    F.col("pred").alias("s"))
+    want = a.join(b, "event_id").where("node_a < node_b").select(
+        "event_id", "node_a", "node_b", F.signum(F.col("p") - F.col("r")).cast("int").alias("sign_x"),
+        F.signum((F.col("q") - F.col("s")).cast("double")).cast("int").alias("sign_y"))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("ShuffledHashJoin [cluster_id")]
+    assert "Join" not in above and "Exchange" not in above
