@@ -169,6 +169,24 @@ def load_windows(log: DataFrame, path: str, width="5 seconds") -> DataFrame:
         .alias("avg_latency_ms"), (F.col("sent") / seconds).alias("rps"))
 
 
+def sliding_means(samples: DataFrame, path: str, width="60 seconds", slide="5 seconds") -> DataFrame:
+    """Mean usage per node and sliding window, over all samples.
+
+    As with `load_windows`, each batch leaves its own sums, so a sample may come in any batch and
+    changes every window that holds it.
+    """
+    values = ("cpu_sample", "mem_sample")
+    parts = run_batches(samples, path, lambda batch: batch.groupBy(
+        "node_id", F.window("ts", width, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("samples"), *[F.sum(c).alias(c) for c in values],
+        *[F.count(c).alias(f"{c}_n") for c in values]))
+    whole = parts.groupBy("node_id", "w").agg(F.sum("samples").alias("samples"), *[
+        F.sum(c).alias(c) for v in values for c in (v, f"{v}_n")])
+    return whole.select(
+        "node_id", F.col("w.start").alias("window_start"), "samples",
+        *[F.try_divide(c, f"{c}_n").alias(c.replace("sample", "mean")) for c in values])
+
+
 def counters(log: DataFrame, path: str) -> DataFrame:
     """Cumulative request counters after the newest batch."""
     totals = decisions.request_counters(log)

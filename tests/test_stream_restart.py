@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from builders import make_nodes, make_pods
 from mooring.operators import decisions, placement, replay
 from mooring.sources import fleet
-from mooring.streaming import jobs, stateful, validator
+from mooring.streaming import jobs, live, stateful, validator
 from test_ranking import fleet as random_fleet
 
 START = datetime.datetime(2024, 1, 1)
@@ -134,3 +134,53 @@ def test_deviations_of_far_values_do_not_cancel(spark, tmp_path):
     row = moments.first()
     assert (row.n, row.mean, row.squares) == (4, 1e9 + 1.5, 10.0)
     assert buckets.first().n == 4
+
+
+def test_live_placement_follows_the_snapshot(spark, tmp_path, arrivals):
+    """A poll between the batches: picks and events are those of the batch on the poll of its time."""
+    pods, nodes = arrivals
+    feed, polls, kept, out = (str(tmp_path / n) for n in ("pods", "polls", "kept", "out"))
+    ids = [r.node_id for r in nodes.select("node_id").collect()]
+    want_picks, want_events, halves = [], [], thirds(pods, "pod_id")[:3]
+    for day, part in enumerate(halves):
+        if day:  # the first batch comes before any poll
+            ts = START + datetime.timedelta(days=day)
+            spark.createDataFrame(
+                [(i * 10 + day, ts, ts, i, float(i * 131 % 17) * 300 * day, float(i % 5) * (1 << 30))
+                 for i in ids if (i + day) % 3],
+                "sample_id long, ts timestamp, poll_ts timestamp, node_id long, cpu_sample double,"
+                "mem_sample double").coalesce(1).write.mode("append").parquet(polls)
+            jobs.snapshot(jobs.folder_stream(spark, polls), kept)
+        part.coalesce(1).write.mode("append").parquet(feed)
+        picks, events = live.place_live(jobs.folder_stream(spark, feed), nodes, kept, out)
+        states = live.states_on(spark, nodes, kept, day - 1).cache()
+        waiting = placement.pending_pods(part)
+        placed = placement.place(waiting, states)
+        want_picks.append(placed.withColumn("version", F.lit(day - 1)))
+        want_events.append(decisions.placement_events(
+            waiting, placement.ready_nodes(states), placed))
+    for got, parts in ((picks, want_picks), (events, want_events)):
+        want = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        assert equal(got.drop("batch"), want)
+    # A repeated batch keeps the version it began with, whatever has come since.
+    jobs.snapshot(jobs.folder_stream(spark, polls), kept)
+    assert live._version(spark, out, 0, kept) == -1 and live._version(spark, out, 1, kept) == 0
+
+
+def test_sliding_means_of_shuffled_samples(spark, tmp_path):
+    rows = [(i, START + datetime.timedelta(seconds=i * 37 % 301), i % 3, float(i), None if i % 7 == 0
+             else 1.0) for i in range(80)]
+    samples = spark.createDataFrame(rows, "sample_id long, ts timestamp, node_id long,"
+                                          "cpu_sample double, mem_sample double")
+    got = in_two_runs(spark, tmp_path, thirds(samples, "sample_id"),
+                      lambda s: jobs.sliding_means(s, str(tmp_path / "m")))
+    by = {(r.node_id, (r.window_start - START).total_seconds()): r for r in got.collect()}
+    for node in range(3):
+        for start in range(-60, 305, 5):
+            held = [r for r in rows if r[2] == node and start <= (r[1] - START).total_seconds() < start + 60]
+            row = by.pop((node, float(start)), None)
+            assert (row is None) == (not held)
+            if held:
+                assert row.samples == len(held)
+                assert row.cpu_mean == pytest.approx(sum(r[3] for r in held) / len(held))
+    assert not by
