@@ -267,7 +267,7 @@ def group_split(spark, sf):
 
 
 #: Rounds and learning rate are a run's own choice; the rest is as published.
-FIT = boosting.Params(n_estimators=20, learning_rate=0.3, early_stopping_rounds=5)
+FIT = boosting.Params(n_estimators=15, learning_rate=0.35, early_stopping_rounds=5)
 _models = {}
 
 

@@ -138,7 +138,8 @@ def sink_metadata(spark, sf):
     return training_run(spark, sf).select(
         "features", "row_count", "events", "feasible_rows", "infeasible_rows", "max_depth", "max_bin",
         "gamma", "test_size",
-        sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in METRICS).alias("metrics"))
+        sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in METRICS), F.lit(0)).alias(
+            "metrics"))
 
 
 @register("training_run")
@@ -153,7 +154,7 @@ def training_run(spark, sf):
     path = sinks.write_metadata(run, scratch_path(spark, "metadata"))
     return sinks.read_json(spark, path).select(
         F.size("feature_columns").alias("features"), "dataset_size.*",
-        *[F.col(f"training_parameters.{c}").cast(kind) for c, kind in (
+        *[F.col(f"training_parameters.{c}").cast(kind).alias(c) for c, kind in (
             ("max_depth", "int"), ("max_bin", "int"), ("gamma", "double"), ("test_size", "double"))],
         *METRICS)
 
