@@ -96,18 +96,20 @@ def rolling_mean(samples: DataFrame, columns: dict, rows: int = 12, node="node_i
 
     Samples are numbered per node by a distributed sort and cut into blocks; the last rows of a block
     are repeated in the next one. A window holds one block, so a node with a third of all samples is
-    spread over as many tasks as it has blocks.
+    spread over as many tasks as it has blocks. Samples without a node are a node of their own.
     """
-    placed = positions(samples, node, list(order))
+    nodes = {"_node": F.coalesce(node, F.lit(0).cast(samples.schema[node].dataType)),
+             "_no_node": F.col(node).isNull()}
+    placed = positions(samples.withColumns(nodes), list(nodes), list(order))
     at = F.col("position") - 1
     own = F.floor(at / block).cast("long")
     carried = (at % block >= block - (rows - 1)) & (F.col("position") < F.col("group_rows"))
     blocks = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_block", F.explode(blocks))
-    last = Window.partitionBy(node, "_block").orderBy("position").rowsBetween(1 - rows, 0)
+    last = Window.partitionBy(*nodes, "_block").orderBy("position").rowsBetween(1 - rows, 0)
     means = spread.withColumns({name: F.avg(c).over(last) for name, c in columns.items()})
     return means.where(F.col("_own") == F.col("_block")).drop(
-        "_own", "_block", "position", "group_rows")
+        "_own", "_block", "position", "group_rows", *nodes)
 
 
 def with_default_snapshot(rows: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -240,11 +240,14 @@ def src_usage(spark, sf):
         F.col("current_memory_usage").alias("mem"))
 
 
-@register("rolling_mean", query("""
+ROLLING_SQL = """
 SELECT event_id AS sample_id, user_id AS node_id, round_even(avg(value) OVER w, 6) AS cpu_mean,
        round_even(avg(CAST(event_id * 13 % 100 AS DOUBLE)) OVER w, 6) AS mem_mean
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
-                         ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""))
+                         ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+
+
+@register("rolling_mean", query(ROLLING_SQL))
 def rolling_mean(spark, sf):
     means = cand.rolling_mean(fleet.telemetry(spark, sf), {
         "cpu_mean": F.col("cpu_sample"), "mem_mean": F.col("mem_sample")})

@@ -22,3 +22,12 @@ def test_rolling_mean_of_a_hot_node(spark, block):
         for i, r in enumerate(mine):
             last = [x[3] for x in mine[max(0, i - 11):i + 1]]
             assert got[r[0]] == pytest.approx(sum(last) / len(last))
+
+
+def test_samples_without_a_node_stay(spark):
+    start = datetime.datetime(2024, 1, 1)
+    frame = spark.createDataFrame(
+        [(i, None if i % 2 else 0, start, float(i)) for i in range(6)],
+        "sample_id long, node_id long, ts timestamp, v double")
+    got = {r.sample_id: (r.node_id, r.m) for r in rolling_mean(frame, {"m": F.col("v")}).collect()}
+    assert got == {0: (0, 0.0), 2: (0, 1.0), 4: (0, 2.0), 1: (None, 1.0), 3: (None, 2.0), 5: (None, 3.0)}

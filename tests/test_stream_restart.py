@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from builders import make_nodes, make_pods
 from mooring.operators import decisions, placement, replay
 from mooring.sources import fleet
-from mooring.streaming import jobs, live, stateful, validator
+from mooring.streaming import jobs, live, rolling, stateful, validator
 from test_ranking import fleet as random_fleet
 
 START = datetime.datetime(2024, 1, 1)
@@ -184,3 +184,49 @@ def test_sliding_means_of_shuffled_samples(spark, tmp_path):
                 assert row.samples == len(held)
                 assert row.cpu_mean == pytest.approx(sum(r[3] for r in held) / len(held))
     assert not by
+
+
+SAMPLES = ("sample_id long, ts timestamp, node_id long, cpu_sample double, mem_sample double")
+
+
+def last_means(rows, n):
+    """By hand: means of the last n samples at every sample."""
+    out = {}
+    for node in {r[2] for r in rows}:
+        mine = sorted((r for r in rows if r[2] == node),
+                      key=lambda r: (r[1] is not None, r[1] or START, r[0]))
+        for i, r in enumerate(mine):
+            last = mine[max(0, i - n + 1):i + 1]
+            held = [[x[c] for x in last if x[c] is not None] for c in (3, 4)]
+            out[r[0]] = (node, *[sum(v) / len(v) if v else None for v in held])
+    return out
+
+
+@pytest.mark.parametrize("span", ["20 seconds", "3 minutes"])
+def test_last_samples_in_any_order(spark, tmp_path, span):
+    """Spans with fewer and with more samples than a window; one node with most; nulls, equal times."""
+    rows = [(i, None if i % 41 == 0 else START + datetime.timedelta(seconds=i * 37 % 301 // 2 * 2),
+             None if i % 29 == 0 else 0 if i % 4 else i % 3, float(i), None if i % 5 < 3 else 1.0 + i)
+            for i in range(240)]
+    frames = thirds(spark.createDataFrame(rows, SAMPLES), "sample_id")
+    got = in_two_runs(spark, tmp_path, frames,
+                      lambda s: rolling.rolling_means(s, str(tmp_path / "m"), span=span)).collect()
+    want = last_means(rows, 12)
+    assert len(got) == len(want) == 240
+    for r in got:
+        assert (r.node_id, r.cpu_mean, r.mem_mean) == pytest.approx(want[r.sample_id])
+
+
+def test_last_samples_again_and_none(spark, tmp_path):
+    early = [(i, START + datetime.timedelta(seconds=i), 1, float(i), 0.0) for i in range(20)]
+    mended = [(3, START + datetime.timedelta(seconds=3), 1, 300.0, 0.0)]
+    frames = [spark.createDataFrame(part, SAMPLES).coalesce(1) for part in (early, mended, [], mended)]
+    got = in_two_runs(spark, tmp_path, frames, lambda s: rolling.rolling_means(
+        s, str(tmp_path / "m"), span="5 seconds")).collect()
+    rows = [r for r in early if r[0] != 3] + mended
+    want = {i: m[1] for i, m in last_means(rows, 12).items()}
+    assert {r.sample_id: r.cpu_mean for r in got} == pytest.approx(want)
+    empty = spark.createDataFrame([], SAMPLES)
+    empty.coalesce(1).write.parquet(str(tmp_path / "none"))
+    assert rolling.rolling_means(jobs.folder_stream(spark, str(tmp_path / "none")),
+                                 str(tmp_path / "nothing")).count() == 0
