@@ -1,13 +1,17 @@
 """Personal data: rules, and a character BiLSTM with CRF transitions that adds what they miss.
 
 Rules mark e-mail addresses, IP addresses, card and phone numbers; their spans always stay. The
-tagger learns from rule spans in a bounded sample of windows. It reads windows that overlap by half,
-around every character that any such span must hold (a digit, @ or +), so no text is cut short.
+tagger learns from rule spans in a bounded sample of windows, as they stand and written in other ways
+that the rules don't read ("name [at] host [dot] com"). It reads overlapping windows around every mark
+that such a span must hold (a digit, @ or +, a bracketed "at", the word "dot"), so no text is cut short.
 Spans that a window's edge may have cut are left to its neighbour, and one set of spans that don't
-overlap is chosen for the whole text by its total score. A tagged span is added only if it passes the
-same check as a rule's (Luhn, parts up to 255, digit counts) and touches no rule span.
+overlap is chosen for the whole text by its total score. A tagged span is added only if, written the
+plain way, it passes the same check as a rule's (Luhn, parts up to 255, digit counts), and if it touches
+no rule span.
 """
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -81,23 +85,104 @@ def rule_spans(text) -> list:
     return spans
 
 
+# ---- other ways of writing --------------------------------------------------------------------
+
+#: What stands for @ and for a dot in an address.
+EMAIL_WAYS = ((" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "),
+              (" (at) ", " (dot) "), ("{at}", "{dot}"), (" @ ", "."), ("@", "[.]"))
+IP_WAYS = ("[.]", "(.)", " . ", " dot ", "[dot]")
+CARD_WAYS = (".", "/", "_", "  ", " - ")
+#: What stands for the plus sign, and between the digits (None: as it was).
+PHONE_WAYS = (("+ ", None), ("00", None), ("00", "/"), ("+", "/"), ("+", "_"), ("00", "."))
+
+_AT = re.compile(r" ?[\[({<] ?(?:at|@) ?[\])}>] ?| @ ?|@ | at ", re.IGNORECASE)
+_DOT = re.compile(r" ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot | \. ", re.IGNORECASE)
+_CARD_GROUPS = re.compile(r"[0-9]{3,6}([ ./_-]{1,3})[0-9]{3,6}(?:\1[0-9]{1,6})+")
+_PHONE_GROUPS = re.compile(r"(?:\+ ?|00 ?)[1-9][0-9]*[ ()./_-][ ()./_0-9-]*[0-9]")
+
+
+def rewritten(kind: str, found: str, rng: random.Random) -> str:
+    """A rule span in one of the other ways of writing it."""
+    if kind == "email":
+        at, dot = rng.choice(EMAIL_WAYS)
+        local, host = found.split("@")
+        return f"{local}{at}{host.replace('.', dot)}"
+    if kind == "ip":
+        return found.replace(".", rng.choice(IP_WAYS))
+    if kind == "card":
+        digits = _digits(found)
+        return rng.choice(CARD_WAYS).join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    plus, between = rng.choice(PHONE_WAYS)
+    body = found[1:] if between is None else re.sub(r"[^0-9]+", between, found[1:])
+    return plus + body
+
+
+def plainly(kind: str, found: str) -> str:
+    """A span in the way that the rules read, or the empty text if it is no known way of writing."""
+    if kind == "card":
+        return _digits(found) if _CARD_GROUPS.fullmatch(found) else ""
+    if kind == "phone":
+        digits = _digits(found)
+        return f"+{digits.removeprefix('00')}" if _PHONE_GROUPS.fullmatch(found) else ""
+    plain, dots = _DOT.subn(".", found)
+    if kind == "ip":
+        return plain
+    # A bare "at" is a word like others unless the dots are spelled out, too.
+    return _AT.sub("@", plain) if dots or " at " not in found.lower() else ""
+
+
+def accepted(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a tagged span of the text passes its kind's check, as it stands or written plainly."""
+    found = text[a:b]
+    stands = {"card": _CARD, "phone": _PHONE}.get(kind)
+    if valid(kind, found) and (stands is None or stands.fullmatch(found)):
+        return True
+    alone = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+    return alone and valid(kind, plainly(kind, found))
+
+
+def apart(spans: list) -> list:
+    """The spans in order of place, without those that overlap one before."""
+    kept, end = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
+        if a >= end:
+            kept.append((kind, a, b))
+            end = b
+    return kept
+
+
+def altered(text: str, spans: list, seed: int = 0):
+    """The text with its spans rewritten, and where they are then; one seed and text give one result."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + (seed << 32))
+    out, marks, at, size = [], [], 0, 0
+    for kind, a, b in apart(spans):
+        new = rewritten(kind, text[a:b], rng)
+        out += [text[at:a], new]
+        size += a - at
+        marks.append((kind, size, size + len(new)))
+        size, at = size + len(new), b
+    return "".join([*out, text[at:]]), marks
+
+
 # ---- tagger ---------------------------------------------------------------------------------
 
-WINDOW = 64
+#: A span of up to WINDOW - STRIDE characters lies whole in a window, wherever it is.
+WINDOW = 96
 STRIDE = 32
-MARGIN = 24
+MARGIN = 32
 HIDDEN = 16
 EMBED = 8
 #: Windows that are learned from at most: the bound of the sample.
-SAMPLE_WINDOWS = 1_500
+SAMPLE_WINDOWS = 3_000
 #: Updates of the parameters, and windows in each.
-UPDATES = 400
+UPDATES = 600
 BATCH = 32
-#: Mean score per character, over that of no span, from which a span may be added.
+#: Log odds against no span, emissions and transitions together, from which a span may be added.
 LEAST_SCORE = 2.0
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
-_TRIGGER = re.compile(r"[0-9@+]")
-_MARKS = "@.+-_%(): /=\"',;#*\n"
+_TRIGGER = re.compile(r"[0-9@+]|(?i:\bdot\b)|[\[({<] ?(?i:at) ?[\])}>]")
+_MARKS = "@.+-_%(): /=\"',;#*\n[]{}<>"
+_LETTERS = "adot"
 
 
 def _class_table() -> np.ndarray:
@@ -106,16 +191,21 @@ def _class_table() -> np.ndarray:
     codes[48:58], codes[97:123], codes[65:91], codes[128] = 2, 3, 4, 5
     for i, mark in enumerate(_MARKS):
         codes[ord(mark)] = 6 + i
+    for i, letter in enumerate(_LETTERS):
+        codes[[ord(letter), ord(letter.upper())]] = 6 + len(_MARKS) + i
     return codes
 
 
 _CLASSES = _class_table()
-N_CLASSES = 6 + len(_MARKS)
+N_CLASSES = 6 + len(_MARKS) + len(_LETTERS)
 
 
 def windows(text: str) -> list:
-    """Starts of windows over the stretches around triggers; each stretch is covered whole."""
-    starts, low, high = [], None, None
+    """Starts of windows over the stretches around triggers; each stretch is covered whole.
+
+    A stretch begins and ends a margin beyond the run of address characters around its trigger.
+    """
+    starts, low, high, end = [], None, None, 0
 
     def close():
         at = low
@@ -126,12 +216,19 @@ def windows(text: str) -> list:
             at += STRIDE
 
     for match in _TRIGGER.finditer(text):
-        a, b = max(0, match.start() - MARGIN), match.start() + MARGIN
+        # No character is walked over twice: runs are followed from where the last one ended.
+        a, before = match.start(), end
+        end = max(end, match.end())
+        while a > before and text[a - 1] in _LOCAL:
+            a -= 1
+        while end < len(text) and text[end] in _LOCAL:
+            end += 1
+        a = max(0, a - MARGIN)
         if high is None or a > high:
             if high is not None:
                 close()
             low = a
-        high = b
+        high = end + MARGIN
     if high is not None:
         close()
     return starts
@@ -306,9 +403,19 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
     return tags
 
 
-def window_spans(tags: np.ndarray, e: np.ndarray, start: int, size: int) -> list:
-    """(kind, start, end, score) in the text of the spans that no window edge may have cut."""
+def window_spans(tags: np.ndarray, e: np.ndarray, move: np.ndarray, start: int, size: int) -> list:
+    """(kind, start, end, score) in the text of the spans that no window edge may have cut.
+
+    The score is the log odds per character of the best path against that path without the span.
+    """
     spans, t = [], 0
+    full = move + _ALLOWED
+
+    def path(a, b, chosen):
+        """Score of the given tags from a to b, with the steps into the first and out of the last."""
+        steps = np.concatenate([[tags[a - 1] if a else TAGS], chosen, tags[b:b + 1]])
+        return e[np.arange(a, b), chosen].sum() + full[steps[:-1], steps[1:]].sum()
+
     end_of_text = size - start
     while t < len(tags):
         tag = tags[t]
@@ -321,8 +428,8 @@ def window_spans(tags: np.ndarray, e: np.ndarray, start: int, size: int) -> list
             t += 1
         whole = (begin > 0 or start == 0) and (t < len(tags) or t >= end_of_text)
         if whole and t <= end_of_text:
-            chosen = e[np.arange(begin, t), tags[begin:t]] - e[begin:t, 0]
-            spans.append((KINDS[kind], start + begin, start + t, float(chosen.mean())))
+            odds = path(begin, t, tags[begin:t]) - path(begin, t, np.zeros(t - begin, np.int64))
+            spans.append((KINDS[kind], start + begin, start + t, float(odds) / (t - begin)))
     return spans
 
 
@@ -368,7 +475,8 @@ def find_spans(texts: list, p: dict, block: int = 4096) -> list:
                 tags = viterbi(e, fast["move"])
                 for k in np.flatnonzero(tags.any(axis=1)):
                     i = owners[lo + k]
-                    tagged[i] += window_spans(tags[k], e[k], begins[lo + k], len(texts[i]))
+                    tagged[i] += window_spans(tags[k], e[k], fast["move"], begins[lo + k],
+                                              len(texts[i]))
         owners, begins, codes, held = [], [], [], 0
 
     for i, text in enumerate(texts):
@@ -392,7 +500,7 @@ def find_spans(texts: list, p: dict, block: int = 4096) -> list:
         for kind, a, b, score in reconcile(spans) if spans else []:
             before = int(np.searchsorted(starts, b, side="left"))
             clear = before == 0 or reach[before - 1] <= a
-            if clear and score >= LEAST_SCORE and valid(kind, text[a:b]):
+            if clear and score * (b - a) >= LEAST_SCORE and accepted(kind, text, a, b):
                 added.append((kind, a, b))
         out.append((rules, added))
     return out
@@ -400,30 +508,43 @@ def find_spans(texts: list, p: dict, block: int = 4096) -> list:
 
 # ---- Spark ----------------------------------------------------------------------------------
 
+def labelled_windows(text: str, spans: list, every: int = 4, only_spans: bool = False) -> list:
+    """(codes, tags) of about `every` windows, spread over the text or over those with a span."""
+    marks = np.zeros(len(text) + WINDOW, np.uint8)
+    for kind, a, b in apart(spans):
+        marks[a:b] = 2 + 2 * KINDS.index(kind)
+        marks[a] -= 1
+    starts = windows(text)
+    if only_spans:
+        starts = [s for s in starts if marks[s:s + WINDOW].any()]
+    out = []
+    # Spread, so that a text full of numbers gives no more than others.
+    for s in starts[::max(1, len(starts) // every)]:
+        part = marks[s:s + WINDOW].copy()
+        if part[0] and part[0] % 2 == 0:
+            # A span cut by the window's start isn't learned from.
+            ends = np.flatnonzero((part == 0) | (part % 2 == 1))
+            part[:ends[0] if len(ends) else WINDOW] = 0
+        out.append((encode(text[s:s + WINDOW], [0])[0].astype(np.uint8), part))
+    return out
+
+
+def training_windows(text: str) -> list:
+    """Windows of the text as it stands, and of the text with its spans rewritten."""
+    spans = rule_spans(text)
+    found = labelled_windows(text, spans)
+    return found + labelled_windows(*altered(text, spans), only_spans=True) if spans else found
+
+
 def _sampler(batches):
     """Labelled windows of each text: codes and tags, as bytes."""
     for batch in batches:
         keys, codes, tags = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            marks = np.zeros(len(text) + WINDOW, np.uint8)
-            for kind, a, b in rule_spans(text):
-                k = KINDS.index(kind)
-                if not marks[a:b].any():
-                    marks[a:b] = 2 + 2 * k
-                    marks[a] = 1 + 2 * k
-            starts = windows(text)
-            # Spread over the text, so that a text full of numbers gives no more than others.
-            for i in range(0, len(starts), max(1, len(starts) // 4)):
-                s = starts[i]
-                part = marks[s:s + WINDOW].copy()
-                lead = int(np.argmax(part % 2 == 1)) if (part % 2 == 1).any() else WINDOW
-                if part[0] and part[0] % 2 == 0:
-                    # A span cut by the window's start isn't learned from.
-                    head = np.flatnonzero(part == 0)
-                    part[:head[0] if len(head) else lead] = 0
+            for code, tag in training_windows(text):
                 keys.append(key)
-                codes.append(encode(text[s:s + WINDOW], [0])[0].astype(np.uint8).tobytes())
-                tags.append(part.tobytes())
+                codes.append(code.tobytes())
+                tags.append(tag.tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(codes, pa.binary()), pa.array(tags, pa.binary())],
             names=["key", "codes", "tags"])
