@@ -239,3 +239,15 @@ def test_pairs_as_rows_equal_the_self_join(spark, sf):
     plan = got._jdf.queryExecution().executedPlan().toString()
     above = plan[:plan.index("ShuffledHashJoin [cluster_id")]
     assert "Join" not in above and "Exchange" not in above
+
+
+def test_inputs_are_told_apart_by_narrow_keys_and_nulls_count(spark):
+    from mooring.operators.validation import is_deterministic
+    rows = spark.createDataFrame(
+        [(None, 5.0, 1), (5.0, None, 2), (5.0, None, 2), (1.0, 1.0, 3), (1.0, 1.0, 4), (0.0, 1.0, 1),
+         (-0.0, 1.0, 1), (float("nan"), 1.0, 1), (float("nan"), 1.0, 1)], "a double, b double, s long")
+    found = is_deterministic(rows, ["a", "b"], "s")
+    assert found.first()[:] == (5, 1)
+    exchanges = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines()
+                 if "Exchange hashpartitioning" in line]
+    assert exchanges and all("_key0" in line and "a#" not in line for line in exchanges)
