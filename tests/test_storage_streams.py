@@ -146,3 +146,13 @@ def test_stateful_placement_over_batches_equals_replay(spark, tmp_path):
     expected = replay.replay(pods, nodes).collect()
     assert {(r.event_id, r.episode, r.step, r.node_id) for r in found} == {
         (r.event_id, r.episode, r.step, r.node_id) for r in expected}
+
+
+def test_batches_do_not_grow_with_the_files_of_a_table(spark, tmp_path):
+    from mooring.plans import streams
+    rows = spark.range(400).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    rows.repartition(40).write.parquet(str(tmp_path / "events.parquet"))
+    stream = streams.split_stream(spark, str(tmp_path), "events")
+    out = jobs.run_batches(stream, str(tmp_path / "out"), lambda batch: batch)
+    assert out.count() == 400
+    assert out.select("batch").distinct().count() <= streams.BATCHES
