@@ -156,3 +156,11 @@ def test_batches_do_not_grow_with_the_files_of_a_table(spark, tmp_path):
     out = jobs.run_batches(stream, str(tmp_path / "out"), lambda batch: batch)
     assert out.count() == 400
     assert out.select("batch").distinct().count() <= streams.BATCHES
+
+
+def test_stored_dataset_is_smaller_than_with_snappy(spark, tmp_path):
+    rows = spark.range(50_000).select(F.bround(F.rand(1), 6).alias("share")).coalesce(1)
+    sizes = [sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) for name in (
+        "a", "b") if sinks.write_parquet(rows, str(tmp_path / name), **(
+            {} if name == "a" else {"compression": "snappy"}))]
+    assert sizes[0] < 0.9 * sizes[1]
