@@ -251,3 +251,17 @@ def test_inputs_are_told_apart_by_narrow_keys_and_nulls_count(spark):
     exchanges = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines()
                  if "Exchange hashpartitioning" in line]
     assert exchanges and all("_key0" in line and "a#" not in line for line in exchanges)
+
+
+def test_tasks_for_pairs_grow_with_the_files_of_the_pods(spark, sf, monkeypatch):
+    from mooring.operators import labelling
+    from mooring.sources import fleet
+    pods, nodes = fleet.pods(spark, sf), fleet.nodes(spark, sf)
+    assert cand.pair_tasks(pods) == 8 and cand.pair_tasks(spark.range(5)) == 8
+    monkeypatch.setattr(cand, "POD_BYTES", 1 << 10)
+    count = cand.pair_tasks(pods)
+    assert count > 8
+    monkeypatch.setattr(cand, "POD_BYTES", 1 << 9)
+    assert 2 * count - 1 <= cand.pair_tasks(pods) <= 2 * count
+    plan = labelling.label_dataset(pods, nodes)._jdf.queryExecution().executedPlan().toString()
+    assert f", {cand.pair_tasks(pods)}), REPARTITION_BY_NUM" in plan
