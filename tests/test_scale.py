@@ -265,3 +265,14 @@ def test_tasks_for_pairs_grow_with_the_files_of_the_pods(spark, sf, monkeypatch)
     assert 2 * count - 1 <= cand.pair_tasks(pods) <= 2 * count
     plan = labelling.label_dataset(pods, nodes)._jdf.queryExecution().executedPlan().toString()
     assert f", {cand.pair_tasks(pods)}), REPARTITION_BY_NUM" in plan
+
+
+def test_gini_takes_logarithms_of_distinct_values_only(spark):
+    import re
+    rows = spark.createDataFrame([(1.0,), (1.0,), (3.0,), (None,)], "a double")
+    done = validation.gini(rows, ["a"])
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[name#\d+, value#\d+\]", plan)
+    row = done.first()
+    # 0, 1, 1, 3: (n + 1 - 2 * sum of running sums / total) / n
+    assert row.name == "a" and row.gini == pytest.approx((5 - 2 * (0 + 1 + 2 + 5) / 5) / 4)
