@@ -164,3 +164,19 @@ def test_stored_dataset_is_smaller_than_with_snappy(spark, tmp_path):
         "a", "b") if sinks.write_parquet(rows, str(tmp_path / name), **(
             {} if name == "a" else {"compression": "snappy"}))]
     assert sizes[0] < 0.9 * sizes[1]
+
+
+def test_csv_is_stored_compressed_and_read_back_whole(spark, tmp_path):
+    """Every file has its header, ends in .gz and comes back with all rows, by schema or inferred."""
+    df = spark.range(5000, numPartitions=3).select(
+        "id", (F.col("id") / 7).alias("share"), F.lit("no room, \"none\"").alias("why"))
+    stored = sinks.write_outputs(df, str(tmp_path / "d.csv"), str(tmp_path / "d"))
+    files = [f for f in (tmp_path / "d.csv").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    assert stored.count() == 5000
+    for schema in (df.schema, None):
+        read = datasets.load_dataset(spark, csv=str(tmp_path / "d.csv"), csv_schema=schema)
+        assert read.select(df.columns).exceptAll(df).count() == 0 and read.count() == 5000
+    plain = sinks.write_csv(df, str(tmp_path / "plain.csv"), compression="none")
+    assert all(f.suffix == ".csv" for f in (tmp_path / "plain.csv").glob("part-*"))
+    assert datasets.load_dataset(spark, plain).count() == 5000
