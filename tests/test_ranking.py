@@ -237,3 +237,18 @@ def test_split_keeps_events_whole(spark):
         "n > 1").count() == 0
     share = split.agg(F.avg(F.col("is_test").cast("double"))).first()[0]
     assert abs(share - 0.15) < 0.01
+
+
+def test_average_ranks_take_one_window_a_column(spark):
+    """Ties, nulls, both zeros and NaN share the mean of their places."""
+    nan = float("nan")
+    values = [3.0, None, 1.0, 3.0, 0.0, None, -0.0, nan, 3.0, nan, 7.0]
+    rows = spark.createDataFrame([(e, i, v, float(i // 2)) for e in (1, 2) for i, v in enumerate(values)],
+                                 "event_id long, node_id long, a double, b double").repartition(3)
+    ranked = ranking.average_ranks(rows, ["a", "b"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Window [") == 2
+    want = [7.0, 1.5, 5.0, 7.0, 3.5, 1.5, 3.5, 10.5, 7.0, 10.5, 9.0]
+    found = ranked.orderBy("event_id", "node_id").collect()
+    assert [r.rank_a for r in found] == want * 2
+    assert [r.rank_b for r in found] == [1.5, 1.5, 3.5, 3.5, 5.5, 5.5, 7.5, 7.5, 9.5, 9.5, 11.0] * 2
