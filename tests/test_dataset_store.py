@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mooring.constants import CANDIDATE_ROW
-from mooring.operators.candidates import ALIKE_SPREADS, SPREAD, SPREADS, with_spread
+from mooring.operators.candidates import PARTS, SPREAD, candidates, cluster_parts
 from mooring.operators.labelling import candidate_row, label_dataset
 from mooring.plans import storage
 from mooring.sources import sinks
@@ -20,7 +20,8 @@ def small_fleet(spark, pods=600):
 def test_sinks_store_all_columns(spark, monkeypatch, name):
     stored = {}
     monkeypatch.setattr(storage, "labelled",
-                        lambda *a, alike=(): label_dataset(*small_fleet(spark, 30), alike))
+                        lambda spark, sf, parts=None: label_dataset(*small_fleet(spark, 30), parts))
+    monkeypatch.setattr(storage.fleet, "pods", lambda *a: small_fleet(spark, 30)[0])
     for writer in ("write_csv", "write_parquet"):
         real = getattr(sinks, writer)
 
@@ -36,7 +37,7 @@ def test_sinks_store_all_columns(spark, monkeypatch, name):
 
 
 def test_rows_in_order_are_stored_smaller_and_whole(spark, tmp_path):
-    rows = candidate_row(label_dataset(*small_fleet(spark), ["requested_cpu"])).coalesce(1)
+    rows = candidate_row(label_dataset(*small_fleet(spark))).coalesce(1)
     sizes = []
     for name, order in (("a", ()), ("b", sinks.CANDIDATE_ORDER)):
         path = sinks.write_parquet(rows, str(tmp_path / name), order=order)
@@ -46,16 +47,22 @@ def test_rows_in_order_are_stored_smaller_and_whole(spark, tmp_path):
     assert sizes[1] < 0.8 * sizes[0]
 
 
-def test_arrivals_alike_lie_in_few_parts_and_none_takes_all(spark):
-    same = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(7).alias("requested_cpu"))
-    other = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 500).alias("requested_cpu"))
-    parts = []
-    for pods in (same, other):
-        parts.append(with_spread(pods, alike=["requested_cpu"]).select(SPREAD).distinct().count())
-    assert parts == [ALIKE_SPREADS, SPREADS]
+def test_clusters_have_as_many_parts_as_their_pods_ask_for(spark):
+    pods, nodes = small_fleet(spark, 90)
+    parts = cluster_parts(pods, 20)
+    assert [tuple(r) for r in parts.collect()] == [(0, 5)]
+    assert candidates(pods, nodes, parts=parts).select(SPREAD).distinct().count() == 5
+    assert candidates(pods, nodes, parts=cluster_parts(pods)).select(SPREAD).distinct().count() == 1
+    assert PARTS not in candidates(pods, nodes, parts=parts).columns
 
 
 def test_how_arrivals_are_dealt_does_not_change_the_rows(spark):
+    """Also with clusters that have no pods or no nodes, and pods of no cluster."""
     pods, nodes = small_fleet(spark, 90)
-    a, b = (candidate_row(label_dataset(pods, nodes, alike)) for alike in ((), ["requested_cpu"]))
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    pods = pods.unionByName(pods.limit(2).withColumn("cluster_id", F.lit(5).cast("long"))).unionByName(
+        pods.limit(1).withColumn("cluster_id", F.lit(None).cast("long")))
+    nodes = nodes.unionByName(nodes.limit(3).withColumn("cluster_id", F.lit(9).cast("long")))
+    a, b = (candidate_row(label_dataset(pods, nodes, parts)) for parts in (None, cluster_parts(pods, 7)))
+    assert a.count() == b.count() == 90 * 40 and a.exceptAll(b).count() == 0
+    left = [candidates(pods, nodes, how="left", parts=p).count() for p in (None, cluster_parts(pods, 7))]
+    assert left[0] == left[1] == 90 * 40 + 3
