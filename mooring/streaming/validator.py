@@ -4,8 +4,13 @@ What a batch leaves is mergeable: count, mean and squared deviations of every me
 of score bins, ranks and rounded penalties, and the clusters met. Reading merges the batches: counts
 add up, distinct values are those with a count, means and deviations follow Chan's rule. A batch that
 is repeated replaces its own part, so a restart counts nothing twice; no event time is involved, so
-no row is ever late. A batch's part has a bounded number of rows but for the clusters met.
+no row is ever late. A batch's part has a bounded number of rows but for the clusters met. The labelled rows
+of a batch are looked at once, as they are made, and stored nowhere.
 """
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from mooring.functions.units import round_exact
 from mooring.operators.candidates import event_keys
 from mooring.operators.labelling import label_dataset
 from mooring.operators.validation import PENALTIES, UTILISATION
+from mooring.session import ship_package
 from mooring.streaming.jobs import _drain
 
 #: Measured columns: name, value, whether feasible rows only.
@@ -26,57 +32,99 @@ COUNTS = ("rows", "feasible", "selected", "winner_gap_nonzero", "winner_rank_not
           "feasible_rank_null", "events", "cluster_sizes")
 
 
-def _count_if(condition):
-    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0))
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    """name, n, mean, squares (sum of squared deviations), lowest, highest, zeros; counts as n."""
-    cells = []
-    for name, use, column, only in MEASURES:
-        v = F.when(F.col("feasible") | F.lit(not only), use(column).cast("double"))
-        n = F.count(v)
-        cells.append(F.struct(
-            F.lit(name).alias("name"), n.alias("n"), F.avg(v).alias("mean"),
-            (F.var_pop(v) * n).alias("squares"), F.min(v).alias("lowest"), F.max(v).alias("highest"),
-            _count_if(F.abs(v) < 1e-12).alias("zeros")))
-    chosen = F.col("selected_by_scheduler") == 1
-    counts = dict(zip(COUNTS, (
-        F.count(F.lit(1)), _count_if(F.col("feasible")), _count_if(chosen),
-        _count_if(chosen & (F.col("score_gap_from_best") != 0)),
-        _count_if(chosen & ~F.col("teacher_rank").eqNullSafe(F.lit(1))),
-        _count_if(F.col("feasible") & F.col("teacher_rank").isNull()))))
-    nothing = {c: F.lit(None).cast("double").alias(c) for c in ("mean", "squares", "lowest", "highest")}
-    for name, count in counts.items():
-        cells.append(F.struct(F.lit(name).alias("name"), count.alias("n"), *nothing.values(),
-                              F.lit(0).cast("long").alias("zeros")))
-    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-
-
-def _events(rows: DataFrame) -> DataFrame:
-    """Events and their cluster sizes, in the form of `_moments`; events never straddle batches."""
-    events = rows.groupBy(*event_keys(rows)).agg(F.min("cluster_size").cast("long").alias("size"))
-    empty = ", ".join(f"CAST(NULL AS DOUBLE) {c}" for c in ("mean", "squares", "lowest", "highest"))
-    return events.agg(
-        F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("size"), F.lit(0)).alias("cluster_sizes")
-    ).unpivot([], ["events", "cluster_sizes"], "name", "n").selectExpr(
-        "name", "n", *empty.split(", "), "0L AS zeros")
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """kind, value, n: counts of score bins, ranks and rounded penalties, and the clusters met."""
-    def cell(kind, value):
-        return F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+#: What a task leaves: figures of a measured column or a count have no value, those of a bucket only n.
+PART = ("kind string, value double, n long, mean double, squares double, lowest double, highest double, "
+        "zeros long")
+MOMENT = ("n", "mean", "squares", "lowest", "highest", "zeros")
+
 
-    score = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col("teacher_score") / 10)))
-    feasible = [cell("score_bin", score), cell("rank", F.col("teacher_rank"))]
+def _seen(rows: DataFrame) -> tuple[DataFrame, list, list, list]:
+    """What the report looks at in a row, as columns; their names: measured, bucket kinds, counted."""
+    keys, feasible, chosen = event_keys(rows), F.col("feasible"), F.col("selected_by_scheduler") == 1
+    # Every event has one chosen row; nothing is sorted for this window.
+    size = F.min("cluster_size").over(Window.partitionBy(*keys))
+    measured = {name: F.when(feasible | F.lit(not only), use(column).cast("double"))
+                for name, use, column, only in MEASURES}
+    buckets = {"score_bin": F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col("teacher_score") / 10))),
+               "rank": F.col("teacher_rank")}
     for name in PENALTIES:
-        feasible += [cell(f"{name}_thousandth", round_exact(F.col(name), 3)),
-                     cell(f"{name}_tenth", round_exact(F.col(name), 1))]
-    long = rows.where("feasible").select(F.inline(F.array(*feasible))).unionByName(
-        rows.select(F.lit("cluster").alias("kind"), F.col("cluster_id").cast("double").alias("value")))
-    return long.where(F.col("value").isNotNull()).groupBy("kind", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        buckets |= {f"{name}_thousandth": round_exact(F.col(name), 3),
+                    f"{name}_tenth": round_exact(F.col(name), 1)}
+    buckets = {kind: F.when(feasible, value).cast("double") for kind, value in buckets.items()}
+    buckets["cluster"] = F.col("cluster_id").cast("double")
+    gap, rank = F.col("score_gap_from_best"), F.col("teacher_rank")
+    counted = dict(zip(COUNTS, (
+        F.lit(True), feasible, chosen, chosen & (gap != 0), chosen & ~rank.eqNullSafe(F.lit(1)),
+        feasible & rank.isNull(), chosen)))
+    counted = {name: F.when(when, 1).otherwise(0) for name, when in counted.items()}
+    counted["cluster_sizes"] = F.when(chosen, F.col("_size")).otherwise(0)
+    columns = [c.alias(f"{group}_{name}") for group, named in (
+        ("m", measured), ("b", buckets), ("c", counted)) for name, c in named.items()]
+    seen = rows.withColumn("_size", size).select(*columns)
+    return seen.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in seen.columns if c[0] == "c"}), [
+        *measured], [*buckets], [*counted]
+
+
+def _add(held, v: np.ndarray):
+    """(n, mean, squares, lowest, highest, zeros) with more values, by Chan's rule."""
+    n, mean = len(v), v.mean()
+    squares, lowest, highest = ((v - mean) ** 2).sum(), np.fmin.reduce(v), v.max()
+    zeros = int((np.abs(v) < 1e-12).sum())
+    if held is None:
+        return n, mean, squares, lowest, highest, zeros
+    all_n, apart = held[0] + n, mean - held[1]
+    return (all_n, held[1] + apart * n / all_n, held[2] + squares + apart * apart * held[0] * n / all_n,
+            np.fmin(held[3], lowest), np.maximum(held[4], highest), held[5] + zeros)
+
+
+def _tally(measured, kinds, counted):
+    """Per task the figures of its rows, by one pass: as many rows as columns and distinct rounded values."""
+    def run(batches):
+        moments, buckets = dict.fromkeys(measured), {kind: Counter() for kind in kinds}
+        counts = dict.fromkeys(counted, 0)
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for name in measured:
+                v = columns[f"m_{name}"].drop_null().to_numpy(zero_copy_only=False)
+                if len(v):
+                    moments[name] = _add(moments[name], v)
+            for kind in kinds:
+                v = columns[f"b_{kind}"].drop_null().to_numpy(zero_copy_only=False)
+                for value, n in zip(*(part.tolist() for part in np.unique(v, return_counts=True))):
+                    buckets[kind][value] += n
+            for name in counted:
+                counts[name] += int(columns[f"c_{name}"].to_numpy(zero_copy_only=False).sum())
+        rows = [(name, None, *held) for name, held in moments.items() if held is not None]
+        rows += [(name, None, n, None, None, None, None, 0) for name, n in counts.items()]
+        rows += [(kind, value, n, None, None, None, None, 0)
+                 for kind, held in buckets.items() for value, n in held.items()]
+        names = [c.split()[0] for c in PART.split(", ")]
+        types = [pa.string(), pa.float64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
+        for i in range(0, len(rows), 8192):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, kind) for part, kind in zip(zip(*rows[i:i + 8192]), types)], names=names)
+    return run
+
+
+def parts(rows: DataFrame) -> DataFrame:
+    """What each task leaves of its labelled rows: they are looked at once and kept nowhere."""
+    ship_package(rows.sparkSession)
+    seen, *names = _seen(rows)
+    return seen.mapInArrow(_tally(*names), PART)
+
+
+def _moments(left: DataFrame) -> DataFrame:
+    """name and figures of every measured column and count, merged over tasks; 0 rows where none had any."""
+    none = left.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m[0]) for m in MEASURES], *[
+        F.lit(c) for c in COUNTS])).alias("name"), F.lit(0).cast("long").alias("n"), *[
+        F.lit(None).cast("double").alias(c) for c in MOMENT[1:5]], F.lit(0).cast("long").alias("zeros"))
+    return _merge(left.where("value IS NULL").select(
+        F.col("kind").alias("name"), *MOMENT).unionByName(none))
+
+
+def _buckets(left: DataFrame) -> DataFrame:
+    """kind, value, n: counts of score bins, ranks and rounded penalties, and the clusters met."""
+    return left.where("value IS NOT NULL").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def validate(pods: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
@@ -87,29 +135,31 @@ def validate(pods: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     spark = pods.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = label_dataset(batch, nodes).persist()
-        try:
-            _moments(rows).unionByName(_events(rows)).write.mode("overwrite").parquet(
-                f"{path}/moments/batch={batch_id}")
-            _buckets(rows).write.mode("overwrite").parquet(f"{path}/buckets/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        left_at = f"{path}/parts/batch={batch_id}"
+        parts(label_dataset(batch, nodes)).write.mode("overwrite").parquet(left_at)
+        left = spark.read.schema(PART).parquet(left_at)
+        _moments(left).coalesce(1).write.mode("overwrite").parquet(f"{path}/moments/batch={batch_id}")
+        _buckets(left).write.mode("overwrite").parquet(f"{path}/buckets/batch={batch_id}")
 
     _drain(pods.writeStream.foreachBatch(write), spark, path)
     return report(spark, path)
 
 
-def merged(spark: SparkSession, path: str):
-    """(moments, buckets) over all batches."""
-    parts = spark.read.parquet(f"{path}/moments/batch=*")
+def _merge(parts: DataFrame) -> DataFrame:
+    """The figures of each name over all parts, by Chan's rule."""
     overall = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy("name")) / F.sum(
         F.when(F.col("mean").isNotNull(), F.col("n"))).over(Window.partitionBy("name"))
     apart = F.col("mean") - F.col("_mean")
-    moments = parts.withColumn("_mean", overall).groupBy("name").agg(
+    return parts.withColumn("_mean", overall).groupBy("name").agg(
         F.sum("n").alias("n"), F.max("_mean").alias("mean"),
         F.sum(F.col("squares") + F.col("n") * apart * apart).alias("squares"),
         F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
         F.sum("zeros").alias("zeros"))
+
+
+def merged(spark: SparkSession, path: str):
+    """(moments, buckets) over all batches."""
+    moments = _merge(spark.read.parquet(f"{path}/moments/batch=*"))
     buckets = spark.read.parquet(f"{path}/buckets/batch=*").groupBy("kind", "value").agg(
         F.sum("n").alias("n"))
     return moments, buckets
